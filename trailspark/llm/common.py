@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Functions travel to the executors by value, so the package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules["trailspark"])
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed by the task: the separators of words, and what a word is made of.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -70,6 +75,11 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def worker_cache() -> dict:
+    """Lives as long as the Python worker; functions sent by value lose their modules' globals with each task."""
+    return sys.__dict__.setdefault("_trailspark_cache", {})
+
+
 # Membership filters --------------------------------------------------------------------
 
 #: 2**27 bits: at most 4,096 rows of 4 KB, 16 MB however large the key set is.

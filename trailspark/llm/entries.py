@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import chat_format, exact_dedup, line_dedup, sharding
+from trailspark.llm import chat_format, exact_dedup, line_dedup, mixing, sharding, token_output
+from trailspark.llm.common import new_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix(spark, sf_dir):
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), hash_all=True)
 
@@ -40,11 +46,21 @@ def op9_chat(spark, sf_dir):
     )
 
 
+def op10_token_ids(spark, sf_dir):
+    import public_tokenizers
+
+    path = new_path(spark, "tokens")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, str(public_tokenizers.path("word_bpe_49k.json")))
+    return token_output.read_tokens(spark, path).drop("ids")
+
+
 QUERIES = {
+    "op1_mix": op1_mix,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_shard": op8_shard,
     "op9_chat": op9_chat,
+    "op10_token_ids": op10_token_ids,
 }
 
 SQL = {
