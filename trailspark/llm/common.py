@@ -6,6 +6,9 @@ import sys
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -80,6 +83,16 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_trailspark_cache", {})
 
 
+def text_slices(batch: pa.RecordBatch, text_bytes: int = 4 << 20):
+    """Slices of about ``text_bytes`` of the column ``text``, so memory does not follow a batch's longest texts."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
+    cut = np.flatnonzero(np.diff(np.cumsum(size) // text_bytes)) + 1
+    edges = [0, *cut.tolist(), len(size)]
+    for a, b in zip(edges, edges[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 # Membership filters --------------------------------------------------------------------
 
 #: 2**27 bits: at most 4,096 rows of 4 KB, 16 MB however large the key set is.

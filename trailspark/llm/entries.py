@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import chat_format, exact_dedup, line_dedup, mixing, sharding, token_output
+from trailspark.llm import chat_format, exact_dedup, line_dedup, minhash, mixing, sharding, token_output
 from trailspark.llm.common import new_path
 
 
@@ -22,6 +22,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), hash_all=True)
 
 
+def op4_minhash(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op6_line_dedup(spark, sf_dir):
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
@@ -57,6 +61,7 @@ def op10_token_ids(spark, sf_dir):
 QUERIES = {
     "op1_mix": op1_mix,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_minhash": op4_minhash,
     "op6_line_dedup": op6_line_dedup,
     "op8_shard": op8_shard,
     "op9_chat": op9_chat,

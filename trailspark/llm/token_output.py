@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import delete_path, new_path, worker_cache
+from trailspark.llm.common import delete_path, new_path, text_slices, worker_cache
 
 SAMPLE_DOCS, DICT_BYTES = 400, 64 << 10
 #: Payload bytes after which a block is closed, and distinct words an encoder remembers.
@@ -78,16 +78,6 @@ def _dict(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def _batches(batch: pa.RecordBatch, text_bytes: int = 4 << 20):
-    """Slices of about ``text_bytes`` of the column ``text``, so memory does not follow a batch's longest texts."""
-    size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0))
-    cut = np.flatnonzero(np.diff(np.cumsum(size) // text_bytes)) + 1
-    edges = [0, *cut.tolist(), len(size)]
-    for a, b in zip(edges, edges[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every whole text, append ``end_id``, and write the file set to ``path``.
 
@@ -109,7 +99,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     def encode(batches):
         enc, comp = _encoder(tokenizer_path, end_id, width), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(trained))
         for big in batches:
-            for batch in _batches(big):
+            for batch in text_slices(big):
                 ids = enc.encode(batch.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([comp.compress(x) for x in ids], pa.binary())], ["id", "n", "frame"])
