@@ -83,9 +83,9 @@ def worker_cache() -> dict:
     return sys.__dict__.setdefault("_trailspark_cache", {})
 
 
-def text_slices(batch: pa.RecordBatch, text_bytes: int = 4 << 20):
-    """Slices of about ``text_bytes`` of the column ``text``, so memory does not follow a batch's longest texts."""
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column("text")), 0))
+def text_slices(batch: pa.RecordBatch, column: str = "text", text_bytes: int = 4 << 20):
+    """Slices of about ``text_bytes`` of a column of texts, so memory does not follow a batch's longest texts."""
+    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     cut = np.flatnonzero(np.diff(np.cumsum(size) // text_bytes)) + 1
     edges = [0, *cut.tolist(), len(size)]
     for a, b in zip(edges, edges[1:]):

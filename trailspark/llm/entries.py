@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trailspark.llm import chat_format, exact_dedup, line_dedup, minhash, mixing, sharding, token_output
+from trailspark.llm import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, sharding, token_output, toxicity
 from trailspark.llm.common import new_path
 
 
@@ -18,6 +18,10 @@ def op1_mix(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op2_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), hash_all=True)
 
@@ -26,11 +30,19 @@ def op4_minhash(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_html(spark, sf_dir):
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op6_line_dedup(spark, sf_dir):
     out = line_dedup.line_dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("text_sha256"))
 
 
+def op7_toxicity(spark, sf_dir):
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_shard(spark, sf_dir):
     out = sharding.shard_rows(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -60,9 +72,12 @@ def op10_token_ids(spark, sf_dir):
 
 QUERIES = {
     "op1_mix": op1_mix,
+    "op2_decontaminate": op2_decontaminate,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_minhash": op4_minhash,
+    "op5_html": op5_html,
     "op6_line_dedup": op6_line_dedup,
+    "op7_toxicity": op7_toxicity,
     "op8_shard": op8_shard,
     "op9_chat": op9_chat,
     "op10_token_ids": op10_token_ids,
