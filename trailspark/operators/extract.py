@@ -22,7 +22,10 @@ def commands(look) -> Column:
 
 def secret_matches(text: Column) -> Column:
     """array<struct<type, value>>, pattern by pattern; overlaps of patterns count for each."""
-    return F.concat(*[F.transform(S.all_matches(text, p), lambda v, n=name: F.struct(F.lit(n).alias("type"), v.alias("value"))) for name, p in P.SECRETS.items()])
+    def named(name):
+        return lambda v: F.struct(F.lit(name).alias("type"), v.alias("value"))
+
+    return F.concat(*[F.transform(S.all_matches(text, p), named(name)) for name, p in P.SECRETS.items()])
 
 
 def secret_findings(text: Column, source: str | None = "event") -> Column:

@@ -84,10 +84,14 @@ def project_root(path: Column) -> Column:
     """The project a path belongs to: cut at internal folders, then an anchor and two parts, else a fixed depth."""
     norm = F.replace(path, F.lit("/"), F.lit("\\"))
     for mark in INNER_MARKS:
-        norm = S.let(norm, lambda n, m=mark: F.when(F.instr(F.lower(n), m) > 3, F.left(n, F.instr(F.lower(n), m) - 1)).otherwise(n))
+        norm = S.let(norm, _cut_at(mark))
     return S.let(F.struct(path.alias("path"), norm.alias("norm"), categorize(path).alias("category")), lambda x: _root(x["path"], x["norm"], x["category"]))
 
 
+def _cut_at(mark: str):
+    return lambda n: F.when(F.instr(F.lower(n), mark) > 3, F.left(n, F.instr(F.lower(n), mark) - 1)).otherwise(n)
+
+
 def _root(path: Column, norm: Column, category: Column) -> Column:
     def anchored(anchor: str) -> Column:
         end = F.instr(F.lower(norm), anchor) + len(anchor) - 1

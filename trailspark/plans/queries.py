@@ -211,7 +211,7 @@ def redact_documents(spark, sf_dir):
     return df.select("doc_id", F.char_length("r.text").cast("long").alias("before"), (F.col("r.text") == F.col("text")).alias("unchanged"))
 
 
-HEX = "unnest(list_filter(regexp_split_to_array(text, '[^A-Fa-f0-9]+'), x -> length(x) = 40))"
+HEX = "unnest(list_filter(regexp_split_to_array(text, '[^A-Fa-f0-9]+'), lambda x: length(x) = 40))"
 
 
 @query(f"SELECT doc_id, {HEX} AS value FROM documents")
@@ -233,7 +233,7 @@ def ioc_rollup(spark, sf_dir):
 QUAD = "^(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(\\.(25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
 
 
-@query(f"SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^0-9.]+'), x -> regexp_matches(x, '{QUAD}'))) AS ip FROM documents")
+@query(f"SELECT doc_id, unnest(list_filter(regexp_split_to_array(text, '[^0-9.]+'), lambda x: regexp_matches(x, '{QUAD}'))) AS ip FROM documents")
 def ipv4_strict(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", F.explode(S.all_matches(S.text("text"), P.IPV4)).alias("ip"))
     return df
@@ -383,11 +383,11 @@ def activity_edges(spark, sf_dir):
     return views.edges(df, "conv_id", "turn")
 
 
-@query("""SELECT 'codex:session:' || conv_id AS lane, count(*) AS events, 'Date unavailable · codex · ' || left(trim(regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user'), arg_min(text, turn)), '\\s+', ' ', 'g')), 72) AS title FROM conversations GROUP BY conv_id""")
+@query("""SELECT 'codex:session:' || conv_id AS lane, count(*) AS events, 'Date unava · codex · ' || left(trim(regexp_replace(coalesce(arg_min(text, turn) FILTER (role = 'user'), arg_min(text, turn)), '\\s+', ' ', 'g')), 72) AS title FROM conversations GROUP BY conv_id""")
 def session_title(spark, sf_dir):
     df = chat_events(spark, sf_dir).withColumn("event_type", E.classify()).withColumn("event_number", F.col("turn_id").cast("long")).withColumn("session_key", E.session_key()).withColumn("correlation_key", F.lit(""))
     df = df.withColumn("summary", E.summary()).withColumn("commands", F.array().cast("array<string>"))
-    return views.sessions(df).select("lane", "events", F.regexp_replace("title", "^Date unavai", "Date unavailable").alias("title"))
+    return views.sessions(df).select("lane", "events", "title")
 
 
 @query("SELECT sha256(text) AS evidence_hash, count(*) AS n FROM documents GROUP BY 1")
