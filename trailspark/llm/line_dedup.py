@@ -31,7 +31,7 @@ def _levels(min_words: int) -> int:
 
 def _doubled(df: DataFrame, levels: int) -> DataFrame:
     """Column ``_g``: for each k and line the struct (a, b, w) of the run of 2**k lines from it, of endless words past the end."""
-    singles = f"transform(_lines, x -> named_struct('a', xxhash64(x), 'b', xxhash64(1L, x), 'w', cast(regexp_count(x, '{WORD_PATTERN}') as bigint)))"
+    singles = f"transform(_lines, x -> named_struct('a', xxhash64(x), 'b', xxhash64(1L, x), 'w', cast(regexp_count(x, r'{WORD_PATTERN}') as bigint)))"
     half = "shiftleft(1, k - 1)"
     joined = (f"named_struct('a', xxhash64(k, x.a, get(p, i + {half}).a), 'b', xxhash64(k, x.b, get(p, i + {half}).b), 'w', x.w + get(p, i + {half}).w)")
     level = f"transform(p, (x, i) -> if(i + 2 * {half} <= size(p), {joined}, named_struct('a', 0L, 'b', 0L, 'w', {PAST_END})))"
@@ -62,7 +62,7 @@ def repeated_runs(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     """
     levels = _levels(min_words)
     lines = docs.select(F.col(id_col).alias("_id"), F.expr(
-        f"filter(split(coalesce(`{text_col}`, ''), '\\n', -1), x -> regexp_like(x, '{WORD_PATTERN}'))").alias("_lines"))
+        f"filter(split(coalesce(`{text_col}`, ''), '\\n', -1), x -> regexp_like(x, r'{WORD_PATTERN}'))").alias("_lines"))
     grown = _doubled(lines, levels)
     both = F.concat(_windows(levels, min_words, True), _windows(levels, min_words, False))
     windows = grown.select("_id", F.explode(both).alias("w")).select("_id", "w.*")
@@ -95,7 +95,7 @@ def line_dedup(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", tex
     spans = runs.groupBy(F.col(id_col).alias("_rid")).agg(F.collect_list(F.struct("first_line", "n_lines")).alias("_spans"))
     base = docs.select(F.col(id_col).alias("_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
     joined = base.join(spans, F.col("_id") == F.col("_rid"), "left")
-    flags = f"transform(_lines, x -> regexp_like(x, '{WORD_PATTERN}'))"
+    flags = f"transform(_lines, x -> regexp_like(x, r'{WORD_PATTERN}'))"
     marked = joined.withColumn("_full", F.expr(f"filter(transform({flags}, (f, i) -> if(f, i, null)), i -> i is not null)")).withColumn(
         "_gone", F.expr("flatten(transform(coalesce(_spans, array()), s -> slice(_full, s.first_line + 1, s.n_lines)))"))
     kept = F.expr("if(size(_gone) = 0, _lines, transform(filter(transform(_lines, (x, i) -> named_struct('x', x, 'i', i)), p -> not array_contains(_gone, p.i)), p -> p.x))")

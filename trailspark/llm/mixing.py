@@ -136,7 +136,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
     taken = taken.withColumn("_nth", nth("copies")).where("copies > 0").withColumnRenamed("_mid", "_tid").select(
         "_tid", F.col("_crc").alias("_tcrc"), F.col("_size").alias("_tsize"), F.col("_nth").alias("_tnth"), "copies")
-    keyed = docs.withColumn("_mid", F.col(id_col)).withColumn("_crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn(
-        "_size", word_count(F.col(text_col))).withColumn("_nth", nth(F.lit(0)))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_mid"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"),
+                        word_count(F.col(text_col)).alias("_size")).withColumn("_nth", nth(F.lit(0)))
     both = keyed.join(taken, F.col("_mid").eqNullSafe(F.col("_tid")) & (F.col("_crc") == F.col("_tcrc")) & (F.col("_size") == F.col("_tsize")) & (F.col("_nth") == F.col("_tnth")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(*docs.columns)
+    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")

@@ -243,8 +243,8 @@ def score_texts(texts: list, reader: Reader, width: int, weights: np.ndarray) ->
 
 
 def _scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, whole: bool) -> DataFrame:
-    """``docs`` (or only its id) with ``_score``, in one pass over the texts; rows stay where they are."""
-    src = docs.withColumn("_t", F.col(text_col)) if whole else docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    """``_id`` (the id, or with ``whole`` the row as a structure) and ``_score``, in one pass; rows stay where they are."""
+    src = docs.select((F.struct(*docs.columns) if whole else F.col(id_col)).alias("_id"), F.col(text_col).alias("_t"))
     lm = language_model(corpus_counts(docs, text_col)).astype(np.float32)
     chosen, weights = train(docs, labels, lm, id_col, text_col, label_col)
     stamp = zlib.crc32(lm.tobytes() + weights.tobytes())
@@ -278,4 +278,4 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col:
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """The rows of ``docs`` with scores below ``threshold``, with all their columns."""
-    return _scored(docs, labels, id_col, text_col, label_col, whole=True).where(F.col("_score") < threshold).select(*docs.columns)
+    return _scored(docs, labels, id_col, text_col, label_col, whole=True).where(F.col("_score") < threshold).select("_id.*")
