@@ -1,13 +1,13 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
-Texts with the same shingle set are one class. Classes are banded; every bucket of a band compares its
-members with its smallest one first. A candidate's signatures are compared batch by batch: under a
-uniform prior the posterior of the similarity after m of n agreements is Beta(m + 1, n - m + 1), and the
-pair is dropped once the chance of reaching the threshold falls below ``miss``. Survivors are confirmed on their
-full shingle sets. Then buckets whose members lie in several components compare across components,
-and only there, so a bucket of many copies costs what its members are, while no link that banding
-can show is lost. Bands are so many that a pair at the threshold misses all of them with probability
-``miss`` at most.
+Texts with the same shingle set are one class. Classes that share a band's bucket, directly or through
+others, form a candidate cluster, so each class is compared in one place only. Inside a cluster, pairs that share a
+bucket and are not yet connected are compared batch by batch of their signatures: under a uniform prior the
+posterior of the similarity after m of n agreements is Beta(m + 1, n - m + 1), and the pair is dropped once the
+chance of reaching the threshold falls below ``miss``. Survivors are confirmed on their full shingle sets, and
+a cluster gives back a spanning forest of confirmed links, never all its pairs. A cluster of
+more than ``BLOCK`` classes is cut into blocks, one task per two blocks, so no task holds more than two. Bands
+are so many that a pair at the threshold misses all of them with probability ``miss`` at most.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,7 +24,7 @@ from trailspark.llm.common import key_filter, materialise, text_slices, with_mem
 from trailspark.llm.components import components
 
 ROWS_PER_BAND, BATCH = 5, 20
-#: Members of a bucket that one comparison task holds on each side.
+#: Classes of a cluster that one comparison task holds on each side.
 BLOCK = 1_000
 
 
@@ -59,11 +58,6 @@ def _agree(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.nd
     return alive
 
 
-def _matrix(column) -> np.ndarray:
-    rows = column.to_pylist() if hasattr(column, "to_pylist") else list(column)
-    return np.frombuffer(b"".join(rows), np.uint32).reshape(len(rows), -1) if rows else np.empty((0, 1), np.uint32)
-
-
 def _signed(docs: DataFrame, perms: int, words: int) -> DataFrame:
     def run(batches):
         a, b = S.permutations(perms)
@@ -78,86 +72,102 @@ def _signed(docs: DataFrame, perms: int, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n long, cls binary, sig binary")
 
 
-def _confirmed(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, percent: int, bounds, words: int) -> DataFrame:
-    """Of candidate pairs (u, v), those that survive their signatures and then hold on full sets."""
-    left = sigs.select(F.col("id").alias("u"), F.col("n").alias("nu"), F.col("sig").alias("su"))
-    right = sigs.select(F.col("id").alias("v"), F.col("n").alias("nv"), F.col("sig").alias("sv"))
-    sized = pairs.join(right, "v").join(left, "u").where(f"100 * least(nu, nv) >= {percent} * greatest(nu, nv)")
-
-    def bayes(batches):
-        for batch in batches:
-            alive = _agree(_matrix(batch.column("su")), _matrix(batch.column("sv")), bounds) if batch.num_rows else []
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(alive, pa.int64())), batch.column("v").take(pa.array(alive, pa.int64()))], ["u", "v"])
-
-    alive = materialise(sized.select("u", "v", "su", "sv").mapInArrow(bayes, "u long, v long"), "alive")
-    needed = alive.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    needed = materialise(needed, "needed")
-    wanted = with_membership(docs, key_filter(needed.select(F.xxhash64("id").alias("k")), "k"), F.xxhash64("id"), "_hit").where("_hit").select("id", "text")
+def _sets(docs: DataFrame, words: int) -> DataFrame:
+    """(id, cls, s): the full shingle sets of texts."""
 
-    def sets(batches):
+    def run(batches):
         for big in batches:
             for batch in text_slices(big):
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([S.shingle_set(t, words).tobytes() for t in batch.column("text").to_pylist()], pa.binary())], ["id", "s"])
-
-    full = wanted.mapInArrow(sets, "id long, s binary").join(needed, "id", "left_semi")
-    full = materialise(full, "sets")
-    both = alive.join(full.select(F.col("id").alias("v"), F.col("s").alias("sv")), "v").join(full.select(F.col("id").alias("u"), F.col("s").alias("su")), "u")
+                sets = [S.shingle_set(t, words) for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([S.digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["id", "cls", "s"])
+
+    return docs.mapInArrow(run, "id long, cls binary, s binary")
+
+
+class Forest:
+    """Union-find over positions."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def find(self, i: int) -> int:
+        while self.root[i] != i:
+            self.root[i] = self.root[self.root[i]]
+            i = self.root[i]
+        return int(i)
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = sorted((self.find(i), self.find(j)))
+        self.root[b] = a
+        return a != b
+
+    def roots(self) -> np.ndarray:
+        while (self.root != self.root[self.root]).any():
+            self.root = self.root[self.root]
+        return self.root
+
+
+def confirm(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int, bounds) -> list[tuple[int, int]]:
+    """Spanning links among the members of one task. ``sides``: with two values, only pairs across them count."""
+    n, links, forest = len(sets), [], Forest(len(sets))
+    bands = sigs.reshape(n, -1, ROWS_PER_BAND)
+    size = np.array([len(s) for s in sets])
+    across = len(set(sides.tolist())) > 1
+    flat = np.concatenate(sets)
+    owner = np.repeat(np.arange(n), size)
+    order = np.argsort(flat, kind="stable")
+    values, owners = flat[order], owner[order]
+    for i in range(n - 1):
+        other = np.flatnonzero((forest.roots()[i + 1 :] != forest.find(i)) & ((sides[i + 1 :] != sides[i]) | (not across))) + i + 1
+        lo, hi = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
+        other = other[100 * lo >= percent * hi]
+        if len(other):
+            other = other[(bands[other] == bands[i]).all(axis=2).any(axis=1)]
+        if len(other):
+            other = other[_agree(np.broadcast_to(sigs[i], (len(other), sigs.shape[1])), sigs[other], bounds)]
+        if not len(other):
+            continue
+        if len(other) < 8:
+            common = np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for j in other])
+        else:  # overlaps with every member at once, from the lists of who holds each shingle
+            start, end = np.searchsorted(values, sets[i], "left"), np.searchsorted(values, sets[i], "right")
+            held = np.concatenate([owners[a:b] for a, b in zip(start, end)])
+            common = np.bincount(held, minlength=n)[other]
+        for j in other[100 * common >= percent * (size[other] + size[i] - common)].tolist():
+            if forest.join(i, j):
+                links.append((i, j))
+    return links
+
+
+def _compare(rows: DataFrame, percent: int, bounds) -> DataFrame:
+    """Links of rows (task, side, id, sig, s) that lie together by task."""
+
+    def settle(held: list) -> pa.RecordBatch:
+        _, side, ids, sig, sets = zip(*held)
+        links = confirm(np.frombuffer(b"".join(sig), np.uint32).reshape(len(ids), -1), [np.frombuffer(x, np.uint64) for x in sets], np.array(side), percent, bounds)
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], ["u", "v"])
 
-    def exact(batches):
+    def run(batches):
+        held: list = []
         for batch in batches:
-            keep = []
-            for i, (x, y) in enumerate(zip(batch.column("su"), batch.column("sv"))):
-                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both_n = len(np.intersect1d(a, b, assume_unique=True))
-                if 100 * both_n >= percent * (len(a) + len(b) - both_n) and len(a):
-                    keep.append(i)
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("u").take(at), batch.column("v").take(at)], ["u", "v"])
-
-    return materialise(both.select("u", "v", "su", "sv").mapInArrow(exact, "u long, v long"), "links")
-
-
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    return members.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-
-
-def _across(members: DataFrame, labels: DataFrame, sigs: DataFrame, bounds, best: bool) -> tuple[DataFrame, int]:
-    """Candidate pairs between components within a bucket; ``best``: the most alike pair of each two components."""
-    marked = _labelled(members, labels)
-    per = marked.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size")).where("parts > 1")
-    open_ = materialise(marked.join(per.select("key", "size"), "key"), "open")
-    left = open_.count()
-    if not left:
-        return open_, 0
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    spread = open_.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    spread = spread.select("id", "component", "mine", "key", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"))
-    spread = spread.join(sigs.select("id", "sig"), "id")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        sig, ids, comp, mine = _matrix(pdf["sig"]), pdf["id"].to_numpy(), pdf["component"].to_numpy(), pdf["mine"].to_numpy()
-        bi, bj = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-        left_at, out = np.flatnonzero(mine == bi), []
-        right_at = np.flatnonzero(mine == bj)
-        for i in left_at:
-            other = right_at[(comp[right_at] != comp[i]) & ((bi != bj) | (ids[right_at] > ids[i]))]
-            if len(other):
-                alive = other[_agree(np.broadcast_to(sig[i], (len(other), sig.shape[1])), sig[other], bounds)]
-                if len(alive):
-                    m = (sig[alive] == sig[i]).sum(axis=1)
-                    out.append(pd.DataFrame({"u": np.minimum(ids[i], ids[alive]), "v": np.maximum(ids[i], ids[alive]),
-                                             "cu": np.minimum(comp[i], comp[alive]), "cv": np.maximum(comp[i], comp[alive]), "m": m}))
-        got = pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("u", "v", "cu", "cv", "m")})
-        if best and len(got):
-            got = got.sort_values(["m", "u", "v"], ascending=[False, True, True]).drop_duplicates(["cu", "cv"])
-        return got.astype("int64")
-
-    found = materialise(spread.groupBy("key", "bi", "bj").applyInPandas(compare, "u long, v long, cu long, cv long, m long"), "across")
-    if best:
-        top = found.groupBy("cu", "cv").agg(F.max_by(F.struct("u", "v"), F.struct("m", -F.col("u"), -F.col("v"))).alias("p")).select("p.u", "p.v")
-        return top, left
-    return found.select("u", "v").distinct(), left
+            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "id", "sig", "s"))):
+                if held and held[-1][0] != row[0]:
+                    yield settle(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield settle(held)
+
+    return rows.select("task", "side", "id", "sig", "s").repartition("task").sortWithinPartitions("task", "id").mapInArrow(run, "u long, v long")
+
+
+def _members(clusters: DataFrame) -> DataFrame:
+    """(id, task, side): a small cluster is one task; of a larger one each member meets every block once."""
+    sizes = clusters.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
+    cut = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pair = F.struct("component", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    return cut.select("id", F.xxhash64(pair).alias("task"), F.when(F.col("mine") == F.greatest("mine", "other"), 1).otherwise(0).alias("side"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, words: int = S.WORDS, miss: float = 1e-6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -175,23 +185,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = S.WORDS, mi
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(_signed(texts, perms, words), "signed")
     classes = materialise(signed.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
-    sigs = classes.select("id", "n", "sig")
     width = 4 * ROWS_PER_BAND
     keyed = classes.select("id", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")).alias("key"))
-    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "head")
-    members = materialise(keyed.join(heads, "key").where(F.lit(True)), "members")
-    stars = members.where("head <> id").select(F.col("head").alias("u"), F.col("id").alias("v")).distinct()
-    links = _confirmed(stars, sigs, texts, percent, bounds, words)
-    members = members.select("key", "id")
+    heads = keyed.groupBy("key").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "u")
+    clusters = materialise(components(keyed.join(heads, "key").select("u", F.col("id").alias("v"))), "clusters")
+    wanted = with_membership(texts, key_filter(clusters.select(F.xxhash64("id").alias("k")), "k"), F.xxhash64("id"), "_hit").where("_hit").select("id", "text")
+    full = _sets(wanted, words).join(_members(clusters), "id").join(classes.select("id", "sig", "cls"), ["id", "cls"])
+    links = materialise(_compare(full, percent, bounds), "links")
     labels = materialise(components(links), "labels")
-    for best in (True, True, False):
-        pairs, left = _across(members, labels, sigs, bounds, best)
-        if not left:
-            break
-        more = _confirmed(pairs, sigs, texts, percent, bounds, words)
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            labels = materialise(components(links), "labels")
     reps = classes.join(labels, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
     out = signed.where("cls is not null").select("id", "n", "cls").join(reps, "cls", "left").select("id", "n", "component")
     bare = signed.where("cls is null").select("id", "n", F.col("id").alias("component"))
