@@ -45,22 +45,21 @@ def _masker(name: str, pattern: str):
 
 
 def redact_events(events: DataFrame, metadata: bool = True) -> DataFrame:
-    """Event fields with secrets masked, findings appended. ``metadata=True`` also masks raw metadata."""
-    df, found = events, []
-    for c in TEXT_FIELDS:
-        df = df.withColumn(f"_r_{c}", redact(S.text(c)))
-        found.append(F.col(f"_r_{c}.findings"))
-    for c in LIST_FIELDS:
-        df = df.withColumn(f"_r_{c}", F.transform(F.col(c), redact))
-        found.append(F.flatten(F.transform(F.col(f"_r_{c}"), lambda x: x["findings"])))
-    for c in TEXT_FIELDS:
-        df = df.withColumn(c, F.col(f"_r_{c}.text"))
+    """Event fields with secrets masked, findings appended. ``metadata=True`` also masks raw metadata.
+
+    All values of a row pass through one expression, as one array: texts first, then the lists behind each other.
+    """
+    single = (*TEXT_FIELDS, "metadata")
+    values = F.concat(F.array(*map(S.text, single)), *[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in LIST_FIELDS])
+    df = events.withColumn("_r", F.transform(values, redact))
+    start, cut = F.lit(len(single) + 1), {}
     for c in LIST_FIELDS:
-        df = df.withColumn(c, F.transform(F.col(f"_r_{c}"), lambda x: x["text"]))
-    df = df.withColumn("secret_findings", F.concat(F.col("secret_findings").cast(FINDINGS), *found))
-    if metadata:
-        df = df.withColumn("metadata", redact(S.text("metadata"))["text"])
-    return df.drop(*[f"_r_{c}" for c in (*TEXT_FIELDS, *LIST_FIELDS)])
+        n = F.coalesce(F.size(c), F.lit(0))
+        cut[c] = F.transform(F.slice("_r", start, n), lambda x: x["text"])
+        start = start + n
+    found = F.flatten(F.transform(F.filter("_r", lambda x, i: i != len(TEXT_FIELDS)), lambda x: x["findings"]))
+    new = {c: F.col("_r")[i]["text"] for i, c in enumerate(single) if c != "metadata" or metadata} | cut | {"secret_findings": F.concat(F.col("secret_findings").cast(FINDINGS), found)}
+    return df.select(*[new[c].alias(c) if c in new else F.col(c) for c in events.columns])
 
 
 def redact_column(df: DataFrame, name: str, flag: str | None = None) -> DataFrame:

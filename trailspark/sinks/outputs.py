@@ -96,7 +96,7 @@ def write_case(output: str, events: DataFrame, replay: DataFrame, iocs: DataFram
     ``report_rows`` events, messages and indicators and says so; the other files are whole."""
     folder = Path(output)
     folder.mkdir(parents=True, exist_ok=True)
-    safe, talk, marks = redact.redact_events(events, redact_metadata), safe_replay(replay), redact.redact_column(iocs, "value", "redacted")
+    safe, talk, marks = redact.redact_events(events, redact_metadata).persist(), safe_replay(replay).persist(), redact.redact_column(iocs, "value", "redacted").persist()
     write_csv(safe.orderBy("event_number"), folder / "AI_Agent_Timeline.csv", TIMELINE_FIELDS)
     write_jsonl(safe.drop("meta", "ingest_ord").orderBy("event_number"), folder / "AI_Agent_Timeline.jsonl")
     write_csv(talk, folder / "Case_Replay.csv", REPLAY_FIELDS)
@@ -107,6 +107,8 @@ def write_case(output: str, events: DataFrame, replay: DataFrame, iocs: DataFram
     write_csv(diagnostics, folder / "Ingestion_Diagnostics.csv", ["file", "status", "detail"])
     (folder / "AI_Agent_DFIR_Report.html").write_text(render(safe, talk, marks, doc, diagnostics, report_rows), encoding="utf-8")
     hash_list(folder)
+    for df in (safe, talk, marks):
+        df.unpersist()
     return doc
 
 

@@ -79,7 +79,7 @@ def read_files(spark: SparkSession, *inputs: str) -> DataFrame:
 
 def lines_of(files: DataFrame) -> DataFrame:
     """(source_file, source_line from 1, line without its end, whole: the line with its newline as LF)."""
-    body = F.regexp_replace(F.regexp_replace(F.decode("content", "UTF-8"), "^\\ufeff", ""), "\\r\\n|\\r", "\n")
+    body = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\\ufeff", ""), "\\r\\n|\\r", "\n")
     rows = files.select(F.col("path").alias("source_file"), body.alias("_b")).select("source_file", F.posexplode(F.split("_b", "\n", -1)).alias("_i", "line"), F.size(F.split("_b", "\n", -1)).alias("_n"))
     rows = rows.where((F.col("_i") + 1 < F.col("_n")) | (F.col("line") != ""))
     return rows.select("source_file", (F.col("_i") + 1).alias("source_line"), "line", F.when(F.col("_i") + 1 < F.col("_n"), F.concat("line", F.lit("\n"))).otherwise(F.col("line")).alias("whole"))
@@ -246,7 +246,7 @@ def parse_jsonl(files: DataFrame) -> DataFrame:
 
 def parse_json(files: DataFrame) -> DataFrame:
     """Whole-file JSON: records with text, containers before the messages they hold."""
-    docs = files.select(F.col("path").alias("source_file"), F.regexp_replace(F.decode("content", "UTF-8"), "^\\ufeff", "").alias("doc"))
+    docs = files.select(F.col("path").alias("source_file"), F.regexp_replace(F.make_valid_utf8(F.col("content").cast("string")), "^\\ufeff", "").alias("doc"))
     rows = docs.select("source_file", F.posexplode(json_walk.expand(F.col("doc"))).alias("_i", "line")).withColumn("source_line", F.col("_i") + 1)
     names = {k: JSONL_IDS[k] for k in ("session_id", "turn_id", "model", "working_directory")}
     df = rows.withColumn("r", json_walk.record(F.col("line"), names, payload=False)).where("r.text <> ''").withColumn("agent", _hinted(JSON_HINTS))
@@ -294,7 +294,7 @@ ADAPTERS = (
 
 def dispatch(files: DataFrame, adapters: tuple[Adapter, ...] = ADAPTERS) -> DataFrame:
     """Distinct artifact files with the name of the adapter of highest priority that takes them (null: none)."""
-    df = files.where(is_artifact()).dropDuplicates(["path"]).withColumn("sample", F.decode(F.substring("content", 1, 8192), "UTF-8"))
+    df = files.where(is_artifact()).dropDuplicates(["path"]).withColumn("sample", F.make_valid_utf8(F.substring("content", 1, 8192).cast("string")))
     chosen = F.lit(None).cast("string")
     for a in sorted(adapters, key=lambda a: a.priority):
         chosen = F.when(a.matches(), a.name).otherwise(chosen)
