@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import zlib
 
 import numpy as np
@@ -30,10 +31,14 @@ from trailspark.llm.common import delete_path, new_path, text_slices, worker_cac
 
 SAMPLE_DOCS, DICT_BYTES = 400, 64 << 10
 #: Payload bytes after which a block is closed, and distinct words an encoder remembers.
-BLOCK_BYTES, CACHE_WORDS = 4 << 20, 400_000
+BLOCK_BYTES, CACHE_WORDS = 4 << 20, 1_000_000
 LEVEL = 3
 
 
+#: Letters of Latin-1, which are their own composed forms and keep one character in lower case, then signs without apostrophe.
+_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
 class Encoder:
     """Whole texts to little-endian ids. White space separates words for the tokenizer, so each distinct
     word is tokenized once and remembered; the memory is emptied at ``CACHE_WORDS``."""
@@ -44,6 +49,9 @@ class Encoder:
 
         self.tok, self.width = Tokenizer.from_file(tokenizer_path), width
         self.type = f"<u{width}"
+        probe = [self.tok.encode(w, add_special_tokens=False).ids for w in ("Ab", "ab", ",.", "Ab,.")]
+        #: Whether the tokenizer ignores case and cuts between letters and signs.
+        self.cuts = probe[0] == probe[1] and probe[3] == probe[1] + probe[2] and '"Lowercase"' in self.tok.to_str(False)[:4000] and "\\\\p{L}" in self.tok.to_str(False)[:4000]
         self.end, self.known = np.array([end_id], self.type).tobytes(), {}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -51,11 +59,19 @@ class Encoder:
         known = self.known
         if len(known) > CACHE_WORDS:
             known.clear()
-        new = list({w for d in docs for w in d if w not in known})
+        new, split = {w for d in docs for w in d if w not in known}, []
+        if self.cuts:
+            # Letters and the signs after them are tokenized apart, and letters without case: they share entries.
+            split = [(w, m[1].lower().encode(), m[2].encode()) for w in new if (m := _LETTERS_SIGNS.fullmatch(w.decode("utf-8", "replace")))]
+            new.difference_update([w for w, _, _ in split])
+            new.update(x for _, a, b in split for x in (a, b) if x and x not in known)
+        new = list(new)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
                 known[w] = np.array(e.ids, self.type).tobytes()
+        for w, a, b in split:
+            known[w] = known[a] + (known[b] if b else b"")
         return [b"".join([known[w] for w in d]) + self.end for d in docs]
 
 
