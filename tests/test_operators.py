@@ -108,8 +108,9 @@ def test_stream(spark, tmp_path):
 
     rows = [(f"2026-01-02T03:04:0{s}Z", "Prompt", "UserInput", "hi") for s in (0, 2, 4)] + [("", "Prompt", "UserInput", "hi")] * 2
     conform(spark.createDataFrame(rows, "timestamp_utc string, category string, action string, text string")).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     src = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
-    q = deduplicate_stream(src).writeStream.format("memory").queryName("kept").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    q = deduplicate_stream(src).writeStream.format("memory").queryName("kept").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
     q.stop()
     assert sorted(r["timestamp_utc"] for r in spark.table("kept").collect()) == ["", "2026-01-02T03:04:00Z", "2026-01-02T03:04:04Z"]

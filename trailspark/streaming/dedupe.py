@@ -15,7 +15,8 @@ from trailspark.operators.timeline import fingerprint
 
 def deduplicate_stream(events: DataFrame, window_seconds: float = 2.0, retention: str = "1 hour") -> DataFrame:
     """The events a batch run would keep, provided they arrive in order per fingerprint. State of a fingerprint
-    is dropped ``retention`` after its last kept event."""
+    is dropped ``retention`` of processing time after its last batch. Spark then runs batches without data to
+    expire state; a bounded run (availableNow) ends only with ``spark.sql.streaming.noDataMicroBatches.enabled`` off."""
     rows = events.withColumn("_fp", fingerprint()).withColumn("_us", F.unix_micros(S.iso_timestamp(F.col("timestamp_utc"))))
     window = round(window_seconds * 1_000_000)
     hold = int(pd.Timedelta(retention).total_seconds() * 1000)
