@@ -101,6 +101,6 @@ def test_diagnostics(case, home):
 def test_write(spark, case, tmp_path):
     doc = Engine(spark).write(case, str(tmp_path / "out"))
     names = {p.name for p in (tmp_path / "out").iterdir()}
-    assert {"AI_Agent_Timeline.csv", "AI_Agent_Timeline.jsonl", "Case_Replay.csv", "Indicators.csv", "Indicators_STIX_2.1.json", "Analytics.json", "Ingestion_Diagnostics.csv", "AI_Agent_DFIR_Report.html", "SHA256SUMS.txt"} <= names
+    assert {"AI_Agent_Timeline.csv", "AI_Agent_Timeline.jsonl", "Case_Replay.csv", "Indicators.csv", "Indicators_STIX_2.1.json", "Analytics.json", "Ingestion_Diagnostics.csv", "AI_Agent_Report.html", "SHA256SUMS.txt"} <= names
     assert json.loads((tmp_path / "out/Indicators_STIX_2.1.json").read_text())["type"] == "bundle"
     assert (tmp_path / "out/AI_Agent_Timeline.csv").read_bytes()[:3] == b"\xef\xbb\xbf" and doc["total_events"] == case.timeline.count()

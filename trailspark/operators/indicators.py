@@ -57,7 +57,7 @@ def stix_objects(iocs: DataFrame, now: str) -> DataFrame:
     lit = F.lit
     return df.select(
         lit("indicator").alias("type"), lit("2.1").alias("spec_version"), F.concat(lit("indicator--"), S.uuid5(F.concat("type", lit(":"), "value"))).alias("id"),
-        lit(now).alias("created"), lit(now).alias("modified"), F.concat(lit("AI Agent DFIR extracted "), "type").alias("name"),
+        lit(now).alias("created"), lit(now).alias("modified"), F.concat(lit("Agent artifact: "), "type").alias("name"),
         F.concat(lit("Extracted from local AI-agent forensic artifacts; observed "), F.col("count").cast("string"), lit(" time(s).")).alias("description"),
         F.array(lit("malicious-activity")).alias("indicator_types"), "pattern", lit("stix").alias("pattern_type"), lit(now).alias("valid_from"),
-        F.array(lit("ai-agent-dfir"), lit("unvalidated")).alias("labels"))
+        F.array(lit("ai-agent"), lit("unvalidated")).alias("labels"))

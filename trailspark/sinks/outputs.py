@@ -105,7 +105,7 @@ def write_case(output: str, events: DataFrame, replay: DataFrame, iocs: DataFram
     doc = gather_analytics(stats, iocs.count())
     (folder / "Analytics.json").write_text(json.dumps(doc, indent=2, default=str), encoding="utf-8")
     write_csv(diagnostics, folder / "Ingestion_Diagnostics.csv", ["file", "status", "detail"])
-    (folder / "AI_Agent_DFIR_Report.html").write_text(render(safe, talk, marks, doc, diagnostics, report_rows), encoding="utf-8")
+    (folder / "AI_Agent_Report.html").write_text(render(safe, talk, marks, doc, diagnostics, report_rows), encoding="utf-8")
     hash_list(folder)
     for df in (safe, talk, marks):
         df.unpersist()
