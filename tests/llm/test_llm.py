@@ -271,6 +271,19 @@ def test_deobfuscation():
     assert b"idiot" in toxicity.tokens_of("You I d i o t now")
 
 
+ENGLISH = ["you are such a loser and an idiot and a moron scum", "the stupid loser is pathetic trash and what an imbécile he is in the end"] * 50
+
+
+def test_deobfuscation_of_spacing():
+    lm = toxicity.language_model(sum(toxicity.trigram_counts(t) for t in ENGLISH))
+    reader = toxicity.Reader(lm, None)
+    for noisy, plain in (("such a l o s e r", "loser"), ("what s c u m, he", "scum"), ("i  d  i  o  t", "idiot"), ("so st up id", "stupid"), ("stu pid", "stupid"), ("s . c . u . m", "scum"), ("an i m b é c i l e", "imbécile"), ("m 0 r o n", "moron")):
+        assert plain.encode() in toxicity.tokens_of(noisy, reader._join), noisy
+        assert set(toxicity.features_of(plain)) <= set(reader.read(noisy)[0])
+    assert toxicity.tokens_of("1 2 3 4", reader._join) == [b"1", b"2", b"3", b"4"]
+    assert reader._join(" ".join("stupid" * 20_000)) and max(map(len, reader.runs)) <= toxicity.CACHE_RUN
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     docs, labels = [], []

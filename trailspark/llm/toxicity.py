@@ -2,8 +2,9 @@
 
 A character language model (trigrams counted over every document) judges how noisy spellings were meant: each
 token becomes a lattice of readings (letters as they are, leetspeak as the letters it stands for, separators
-as nothing, repeated letters as one or two) and Viterbi decoding picks the likeliest path; letters
-spelled apart are joined first. Restored words are then scored by a logistic regression over word and
+as nothing, repeated letters as one or two) and Viterbi decoding picks the likeliest path. Runs of short tokens
+share one lattice in which each space may be nothing or a word edge; the words that such a path joins
+count besides the tokens. Restored words are then scored by a logistic regression over word and
 word-beginning features, fitted on a bounded sample of labelled rows.
 
 A token that has one reading only is its own decoding, so the lattice is built just for the others; each distinct
@@ -27,19 +28,21 @@ from trailspark.llm.common import text_slices, worker_cache
 LETTERS = "abcdefghijklmnopqrstuvwxyz" + "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7)
 K = len(LETTERS) + 2
 EDGE, OTHER = 0, K - 1
-INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
+INDEX = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": EDGE}
 _TABLE = np.zeros(0x250, np.int64)
 _TABLE[[ord(c) for c in LETTERS]] = np.arange(1, K - 1)
 #: What a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "µ": "u"}
-#: Costs of the channel, in nats: a sign read as a letter, a sign dropped, a digit dropped, a repeated letter dropped.
-COST_LEET, COST_DROP, COST_DIGIT, COST_REPEAT = 1.0, 1.5, 20.0, 0.5
-#: Labelled rows and features of the fit, and tokens a worker remembers.
-MAX_LABELLED, FEATURES, HASH_BITS, CACHE_TOKENS = 8_000, 400, 20, 400_000
+#: Costs of the channel, in nats: a sign read as a letter, a sign dropped, a digit dropped, a repeated letter dropped, a space dropped.
+COST_LEET, COST_DROP, COST_DIGIT, COST_REPEAT, COST_JOIN = 1.0, 1.5, 20.0, 0.5, 3.0
+#: Labelled rows and features of the fit, and tokens and runs (of so many characters at most) a worker remembers.
+MAX_LABELLED, FEATURES, HASH_BITS, CACHE_TOKENS, CACHE_RUN = 8_000, 400, 20, 400_000, 64
 
 _EDGES = re.compile(r"^[^\w@$|+]+|[^\w]+$")
 _ODD = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1")
-_APART = re.compile(rb"(?<!\S)(?:[A-Za-z0-9@$!|]\s){2,}[A-Za-z0-9@$!|](?!\S)")
+#: Runs of tokens of one to three letters or digits, with signs around them or alone.
+_PART = r"(?:[^\w\s]{0,3}\w{1,3}[^\w\s]{0,3}|[^\w\s]{1,3})(?!\S)"
+_APART = re.compile(rf"(?<!\S){_PART}(?:\s+{_PART})+")
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -98,12 +101,12 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def viterbi(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
-    """The cheapest path under channel and language model."""
-    states = {(EDGE, EDGE): (0.0, "")}
+def viterbi(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> list[str]:
+    """The cheapest path under channel and language model: one string for each position."""
+    states = {(EDGE, EDGE): (0.0, None)}
     for options in lattice:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in states.items():
+        nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
+        for (a, b), (cost, path) in states.items():
             for s, extra in options:
                 x, y, total = a, b, cost + extra
                 for ch in s:
@@ -112,9 +115,13 @@ def viterbi(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> str:
                     x, y = y, z
                 old = nxt.get((x, y))
                 if old is None or total < old[0]:
-                    nxt[(x, y)] = (total, text + s)
+                    nxt[(x, y)] = (total, (path, s))
         states = nxt
-    return min((cost + lm[a * K * K + b * K + EDGE], text) for (a, b), (cost, text) in states.items())[1]
+    path, out = min((cost + lm[a * K * K + b * K + EDGE], i, path) for i, ((a, b), (cost, path)) in enumerate(states.items()))[2], []
+    while path is not None:
+        path, s = path
+        out.append(s)
+    return out[::-1]
 
 
 def restore(token: str, lm: np.ndarray) -> str:
@@ -124,13 +131,42 @@ def restore(token: str, lm: np.ndarray) -> str:
     core = _EDGES.sub("", token)
     if not any(c.isalpha() for c in core):
         return ""
-    return viterbi(readings(core), lm) if _ODD.search(core) else core
+    return "".join(viterbi(readings(core), lm)) if _ODD.search(core) else core
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    """Lower-cased tokens; runs of three or more characters spelled apart count as one token more."""
-    raw = (text or "").lower().encode("utf-8", "surrogatepass")
-    return raw.split() + [b"".join(m.split()) for m in _APART.findall(raw)]
+def stretches(run: str) -> list[str]:
+    """Three or more single characters in a row, joined, whatever signs stand around or between them."""
+    out = [""]
+    for t in run.split():
+        one = "".join(c for c in t if c.isalnum() or c in LEET)
+        out[-1:] = [out[-1] + one] if len(one) < 2 else [out[-1], ""]
+    return [w for w in out if len(w) > 2]
+
+
+def join_apart(run: str, lm: np.ndarray) -> list[str]:
+    """The words that a lower-cased run of short tokens spells apart, and its stretches of three or more single
+    characters as a whole; tokens that are words of their own are none."""
+    parts = [t for t in run.split() if any(c.isalnum() or c in LEET for c in t)]
+    if len(parts) < 2 or not any(c.isalpha() for c in run):
+        return []
+    lattice, ends = [], []
+    for t in parts:
+        lattice += [*readings(_EDGES.sub("", t)), [("", COST_JOIN), (" ", 0.0)]]
+        ends.append(len(lattice) - 1)
+    pieces, words, start, n = viterbi(lattice[:-1], lm), [], 0, 0
+    for end in ends:
+        n += 1
+        if end == len(pieces) or pieces[end]:
+            if n > 1:
+                words.append("".join(pieces[start:end]))
+            start, n = end + 1, 0
+    return list(dict.fromkeys([w for w in words if w] + stretches(run)))
+
+
+def tokens_of(text: str | None, join=stretches) -> list[bytes]:
+    """Lower-cased tokens, and those that ``join`` makes of runs of short tokens."""
+    low = (text or "").lower()
+    return low.encode("utf-8", "surrogatepass").split() + [w.encode("utf-8", "surrogatepass") for m in _APART.findall(low) for w in join(m)]
 
 
 def features_of(word: str) -> list[int]:
@@ -145,15 +181,25 @@ class Reader:
     """Texts to counts of (selected) features; remembers each token's features."""
 
     def __init__(self, lm: np.ndarray, chosen: list[int] | None):
-        self.lm, self.known = lm, {}
+        self.lm, self.known, self.runs = lm, {}, {}
         self.slot = None if chosen is None else {f: i for i, f in enumerate(chosen)}
 
     def _learn(self, token: bytes) -> tuple:
         f = features_of(restore(token.decode("utf-8", "replace"), self.lm))
         return tuple(f) if self.slot is None else tuple(self.slot[x] for x in f if x in self.slot)
 
+    def _join(self, run: str) -> list[str]:
+        words = self.runs.get(run)
+        if words is None:
+            words = join_apart(run, self.lm)
+            if len(self.runs) > CACHE_TOKENS:
+                self.runs.clear()
+            if len(run) <= CACHE_RUN:
+                self.runs[run] = words
+        return words
+
     def read(self, text: str | None) -> tuple[list[int], int]:
-        tokens, known = tokens_of(text), self.known
+        tokens, known = tokens_of(text, self._join), self.known
         if len(known) > CACHE_TOKENS:
             known.clear()
         for t in set(tokens).difference(known):
