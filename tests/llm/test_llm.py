@@ -247,6 +247,16 @@ def test_decontaminate(spark):
     assert kept.columns == df.columns and {4, 5, 6, 7} <= {r["doc_id"] for r in kept.collect()} and decontaminate.contaminated(df.limit(0), bench).count() == 0
 
 
+def test_decontaminate_slot_heavy(spark):
+    items = ["What comes next: 2, 4, 8, 16, 32, 64, 128?", "Compute 12 + 7 - 3 : 4", "Sort the ten numbers in the list below upwards: " + " ".join(str(i * 37 % 101) for i in range(25)), "Name Zanzibar's capital", "12 34"]
+    docs = [(i, f"some words before {t} and some after") for i, t in enumerate(items)]
+    docs += [(10, "What comes next: 3, 5, 9, 17, 33, 65, 129?"), (11, "Compute 13 + 7 - 3 : 4"), (12, "12 words 34"), (13, "compute 12 apples")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([*enumerate(items), (20, "..."), (21, "")], "item_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(len(items))} and all(r["verbatim"] and r["coverage"] == 1.0 for r in got)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header class="site-header"><a href="/">Site</a></header><div class="cookie-notice">We use cookies</div>
 <nav><ul><li><a href=a>A</a></ul></nav><div id=main-wrap><div class=content><h1>Big &amp; title</h1><p>Para one has\n quite some  text to be read by people, and <a href=x>one link</a>.<p>Short.
 <ul><li>item a<li>item b</ul><div class=ad>Buy</div><form>mail <input></form><p>Third para with many more words to be counted in the end, caf&eacute;.</div><div class=sidebar><a href=1>L1</a> <a href=2>L2</a></div>

@@ -6,7 +6,8 @@ benchmark's side is a block of bounded size that every task holds, so documents
 benchmark takes one pass per block). A hit counts when its words agree, half of them are no slots, and
 its slots are consistent: over all hits of a document and an item, one value of the item always became the
 same value of the document. Two canonical forms are joined, with and without names as slots, so that changes of
-case and changes of names are both caught. A document holds an item when consistent windows cover
+case and changes of names are both caught. Windows of more slots, and items of fewer than four words, meet by
+their values instead, so that copies which keep the values are found whatever they hold. A document holds an item when consistent windows cover
 half of the item's words.
 """
 
@@ -39,6 +40,8 @@ _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _MEASURE = re.compile(r"[+-]?\d[\d.,]*([a-zA-Z]+)")
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 NUM, UNIT, NAME, MEASURE = "\0num", "\0unit", "\0name", "\0measure"
+#: The form of a word that is its value.
+VALUE = 2
 
 
 def canonical(token: str) -> tuple[str, str, str] | None:
@@ -62,24 +65,32 @@ def _hash(word: str) -> int:
 
 
 class Vocabulary:
-    """Remembers the canonical forms and hashes of tokens."""
+    """Remembers the hashes of the canonical forms of tokens."""
 
     def __init__(self):
-        self.known: dict[bytes, tuple] = {}
-
-    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Tokens that hold a word, and their two hashes."""
+        self.known: dict[bytes, int] = {}
+        self.hashes = np.zeros((1 << 10, 3), np.uint64)
+
+    def _learn(self, token: bytes) -> None:
+        n = len(self.known) + 1
+        if n == len(self.hashes):
+            self.hashes = np.vstack([self.hashes, np.zeros_like(self.hashes)])
+        c = canonical(token.decode("utf-8", "replace"))
+        self.hashes[n] = (0, 0, 0) if c is None else [_hash(x) for x in c]
+        self.known[token] = n
+
+    def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens that hold a word, and the hashes of their three forms."""
         tokens, known = (text or "").encode("utf-8", "surrogatepass").split(), self.known
         if len(known) > CACHE_TOKENS:
             known.clear()
         for t in set(tokens).difference(known):
-            c = canonical(t.decode("utf-8", "replace"))
-            known[t] = (0, 0) if c is None else (_hash(c[0]), _hash(c[1]))
-        pairs = np.array([known[t] for t in tokens], np.uint64).reshape(-1, 2)
-        keep = pairs[:, 0] != 0
+            self._learn(t)
+        rows = self.hashes[np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))]
+        keep = rows[:, 0] != 0
         if not keep.all():
-            tokens, pairs = [t for t, k in zip(tokens, keep) if k], pairs[keep]
-        return tokens, pairs[:, 0], pairs[:, 1]
+            tokens, rows = [t for t, k in zip(tokens, keep.tolist()) if k], rows[keep]
+        return tokens, *np.ascontiguousarray(rows.T)
 
 
 def _slots(words: list[tuple[str, str, str]], form: int) -> list[bool]:
@@ -97,12 +108,13 @@ class Index:
             words = [canonical(t.decode("utf-8", "replace")) for t in tokens]
             self.words[item] = words
             n = min(window, len(words))
-            for form, hashes in enumerate(forms):
-                slots = _slots(words, form)
-                for i, h in enumerate(windows(hashes, n).tolist() if n >= 4 else []):
-                    if 2 * sum(slots[i : i + n]) <= n:
+            few = [[n >= 4 and 2 * sum(_slots(words[i : i + n], form)) <= n for i in range(len(words) - n + 1)] for form in (0, 1)]
+            few.append([not x for x in few[0]])
+            for form, hashes in enumerate(forms if words else ()):
+                for i, h in enumerate(windows(hashes, n).tolist()):
+                    if few[form][i]:
                         at[h].append((item, i, n, form))
-        self.at, self.sizes = dict(at), sorted({n for v in at.values() for _, _, n, _ in v})
+        self.at, self.kinds = dict(at), sorted({(n, form) for v in at.values() for _, _, n, form in v})
         hashes = np.array(sorted(at), np.uint64)
         self.bits = max(16, int(len(hashes)).bit_length() + 6)
         self.mask = np.zeros(1 << self.bits, bool)
@@ -111,11 +123,10 @@ class Index:
     def hits(self, forms) -> list[tuple[int, int, int, int, int]]:
         """(document position, item, item position, length, form) of equal windows."""
         out = []
-        for n in self.sizes:
-            for form, hashes in enumerate(forms):
-                w = windows(hashes, n)
-                for p in np.flatnonzero(self.mask[(w >> np.uint64(64 - self.bits)).astype(np.int64)]).tolist():
-                    out += [(p, item, i, n, form) for item, i, m, f in self.at.get(int(w[p]), ()) if m == n and f == form]
+        for n, form in self.kinds:
+            w = windows(forms[form], n)
+            for p in np.flatnonzero(self.mask[(w >> np.uint64(64 - self.bits)).astype(np.int64)]).tolist():
+                out += [(p, item, i, n, form) for item, i, m, f in self.at.get(int(w[p]), ()) if m == n and f == form]
         return out
 
 
@@ -138,15 +149,15 @@ def judge(tokens: list[bytes], index: Index, hits) -> list[tuple[int, int, float
                 there = words[i : i + n]
                 if any(a[form] != b[form] for a, b in zip(here, there)):
                     continue
-                pairs = [(b[form], b[2], a[2]) for a, b in zip(here, there) if b[form].startswith("\0")]
-                lined.append((i, n, pairs))
+                pairs = [(b[form % VALUE], b[2], a[2]) for a, b in zip(here, there) if b[form % VALUE].startswith("\0")]
+                lined.append((i, n, form, pairs))
                 votes.update(pairs)
             means: dict[tuple[str, str], tuple[int, str]] = {}
             for (kind, old, new), c in votes.items():
                 means[(kind, old)] = max(means.get((kind, old), (0, "")), (c, new))
             covered, good, verbatim = np.zeros(len(words), bool), 0, True
-            for i, n, pairs in lined:
-                if all(means[(k, old)][1] == new for k, old, new in pairs):
+            for i, n, form, pairs in lined:
+                if form == VALUE or all(means[(k, old)][1] == new for k, old, new in pairs):
                     covered[i : i + n] = True
                     good += 1
                     verbatim &= all(old == new for _, old, new in pairs)
@@ -159,8 +170,8 @@ def judge(tokens: list[bytes], index: Index, hits) -> list[tuple[int, int, float
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document and item it holds: id, item_id, n_windows, coverage, verbatim.
 
-    Null or empty texts hold nothing, and items of fewer than four words are held by nothing; items shorter than
-    a window are one window. Repeated rows give repeated results; of items that share an id the last read in
+    Null or empty texts hold nothing, and items without a word are held by nothing; items shorter than a window
+    are one window, and those of fewer than four words are found by their values only. Repeated rows give repeated results; of items that share an id the last read in
     order of their texts counts. Null item ids are left out, null document ids are kept. Without items, or on an
     empty table, there are no rows. Other columns are ignored, whatever their names.
     """
