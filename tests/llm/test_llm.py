@@ -294,6 +294,17 @@ def test_deobfuscation_of_spacing():
     assert reader._join(" ".join("stupid" * 20_000)) and max(map(len, reader.runs)) <= toxicity.CACHE_RUN
 
 
+def test_deobfuscation_of_edges():
+    more = ["what a clown and an ass he is in the dumb shit of a bitch"] * 50
+    lm = toxicity.language_model(sum(toxicity.trigram_counts(t) for t in ENGLISH + more))
+    reader = toxicity.Reader(lm, None)
+    for noisy, plain in (("!d!ot", "idiot"), ("(lown", "clown"), ("a$$", "ass"), ("idi0+", "idiot"), ("@$$", "ass"), ("$#!+", "shit"), ("8!7(#", "bitch"), ('"!d!ot!!"', "idiot"), ("idiot###", "idiot"), ("(idiot)", "idiot"), ("clown!", "clown")):
+        assert plain in toxicity.meanings(noisy, lm), noisy
+        assert set(toxicity.features_of(plain)) <= set(reader.read(noisy)[0])
+    for none in ("$500", "(2019)", "+44", "1+1", "!!", "|", "$$$", "4/5!", "=", "50%"):
+        assert toxicity.restore(none, lm) == "" and not reader.read(none)[0], none
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     docs, labels = [], []

@@ -32,13 +32,14 @@ INDEX = {c: i + 1 for i, c in enumerate(LETTERS)} | {" ": EDGE}
 _TABLE = np.zeros(0x250, np.int64)
 _TABLE[[ord(c) for c in LETTERS]] = np.arange(1, K - 1)
 #: What a sign may stand for.
-LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "µ": "u"}
+LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "#": "h", "€": "e", "£": "l", "µ": "u"}
 #: Costs of the channel, in nats: a sign read as a letter, a sign dropped, a digit dropped, a repeated letter dropped, a space dropped.
 COST_LEET, COST_DROP, COST_DIGIT, COST_REPEAT, COST_JOIN = 1.0, 1.5, 20.0, 0.5, 3.0
 #: Labelled rows and features of the fit, and tokens and runs (of so many characters at most) a worker remembers.
 MAX_LABELLED, FEATURES, HASH_BITS, CACHE_TOKENS, CACHE_RUN = 8_000, 400, 20, 400_000, 64
 
-_EDGES = re.compile(r"^[^\w@$|+]+|[^\w]+$")
+#: Numbers as they are written, with signs around them.
+_NUMBER = re.compile(r"[^\w\s]*[$€£]?\d+(?:[.,:/+x|-]\d+)*[^\w\s]*")
 _ODD = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1")
 #: Runs of tokens of one to three letters or digits, with signs around them or alone.
 _PART = r"(?:[^\w\s]{0,3}\w{1,3}[^\w\s]{0,3}|[^\w\s]{1,3})(?!\S)"
@@ -124,14 +125,63 @@ def viterbi(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> list[str]
     return out[::-1]
 
 
+def trim(token: str, keep=()) -> str:
+    """Without the signs at its edges, but those of ``keep``."""
+    i, j = 0, len(token)
+    while i < j and not token[i].isalnum() and token[i] not in keep:
+        i += 1
+    while i < j and not token[j - 1].isalnum() and token[j - 1] not in keep:
+        j -= 1
+    return token[i:j]
+
+
+def core_of(token: str) -> tuple[str, str, str]:
+    """A token without edges that stand for no letter: signs before its first letter or digit, the rest, signs behind.
+    Without any letter, only two signs at least that stand for different ones (or one beside a digit) may mean a
+    word, and numbers with signs around them do not; all else is empty."""
+    core = trim(token, LEET)
+    if any(c.isalpha() for c in core):
+        middle = trim(core)
+        at = core.index(middle)
+        return core[:at], middle, core[at + len(middle) :]
+    signs = {c for c in core if c in LEET}
+    return "", "" if len(signs) < 2 or all(c.isdigit() for c in signs) or _NUMBER.fullmatch(core) else core, ""
+
+
+def firm(lattice: list[list[tuple[str, float]]]) -> list[list[tuple[str, float]]]:
+    """The lattice without dropping what may be read."""
+    return [[o for o in options if o[0]] or options for options in lattice]
+
+
+def decode(before: str, middle: str, behind: str, lm: np.ndarray, read: bool = False) -> str:
+    """The likeliest word of the parts of a token; with ``read``, the signs at its edges are letters."""
+    if not middle or not (before or behind or _ODD.search(middle)):
+        return middle
+    edges, inner = [readings(before), readings(behind)], readings(middle)
+    if read:
+        edges = [firm(e) for e in edges]
+    if not any(c.isalpha() for c in middle):
+        inner = firm(inner)
+    return "".join(viterbi(edges[0] + inner + edges[1], lm))
+
+
 def restore(token: str, lm: np.ndarray) -> str:
-    """One lower-cased token as it was meant; tokens without any letter stand for no word."""
+    """One lower-cased token as it was meant; tokens that stand for no word give none."""
     if token.isalpha() and not _ODD.search(token):
         return token
-    core = _EDGES.sub("", token)
-    if not any(c.isalpha() for c in core):
-        return ""
-    return "".join(viterbi(readings(core), lm)) if _ODD.search(core) else core
+    return decode(*core_of(token), lm)
+
+
+def meanings(token: str, lm: np.ndarray) -> list[str]:
+    """The word that a token was meant as, and those with the signs at either edge all dropped or all read: marks
+    of punctuation and letters look alike there."""
+    words = [restore(token, lm)]
+    if not token.isalpha():
+        before, middle, behind = core_of(token)
+        for a in {before, ""}:
+            for b in {behind, ""} if before or behind else ():
+                words.append(decode(a, middle, b, lm, read=True))
+    return [w for w in sorted(set(words)) if w]
 
 
 def stretches(run: str) -> list[str]:
@@ -151,7 +201,7 @@ def join_apart(run: str, lm: np.ndarray) -> list[str]:
         return []
     lattice, ends = [], []
     for t in parts:
-        lattice += [*readings(_EDGES.sub("", t)), [("", COST_JOIN), (" ", 0.0)]]
+        lattice += [*readings(trim(t, LEET)), [("", COST_JOIN), (" ", 0.0)]]
         ends.append(len(lattice) - 1)
     pieces, words, start, n = viterbi(lattice[:-1], lm), [], 0, 0
     for end in ends:
@@ -185,7 +235,7 @@ class Reader:
         self.slot = None if chosen is None else {f: i for i, f in enumerate(chosen)}
 
     def _learn(self, token: bytes) -> tuple:
-        f = features_of(restore(token.decode("utf-8", "replace"), self.lm))
+        f = dict.fromkeys(f for w in meanings(token.decode("utf-8", "replace"), self.lm) for f in features_of(w))
         return tuple(f) if self.slot is None else tuple(self.slot[x] for x in f if x in self.slot)
 
     def _join(self, run: str) -> list[str]:
