@@ -305,6 +305,14 @@ def test_deobfuscation_of_edges():
         assert toxicity.restore(none, lm) == "" and not reader.read(none)[0], none
 
 
+def test_deobfuscation_of_doubled_letters():
+    lm = toxicity.language_model(sum(toxicity.trigram_counts(t) for t in [*ENGLISH, *["all good books"] * 50]))
+    for noisy, plain in (("stuupid", "stupid"), ("iidioot", "idiot"), ("loosser", "loser"), ("sstupidd!", "stupid"), ("iddi0tt", "idiot"), ("moronn", "moron")):
+        assert plain in toxicity.meanings(noisy, lm), noisy
+        assert set(toxicity.features_of(plain)) <= set(toxicity.Reader(lm, None).read(noisy)[0])
+    assert all(w in toxicity.meanings(w, lm) for w in ("all", "good", "asshole", "pussy", "unseenn"))
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     docs, labels = [], []

@@ -38,9 +38,13 @@ COST_LEET, COST_DROP, COST_DIGIT, COST_REPEAT, COST_JOIN = 1.0, 1.5, 20.0, 0.5,
 #: Labelled rows and features of the fit, and tokens and runs (of so many characters at most) a worker remembers.
 MAX_LABELLED, FEATURES, HASH_BITS, CACHE_TOKENS, CACHE_RUN = 8_000, 400, 20, 400_000, 64
 
+#: Signs that stand for no letter.
+_PLAIN = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET)
+_TRIPLED = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
 #: Numbers as they are written, with signs around them.
 _NUMBER = re.compile(r"[^\w\s]*[$€£]?\d+(?:[.,:/+x|-]\d+)*[^\w\s]*")
-_ODD = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1")
+_ODD = re.compile(r"[^a-zß-öø-ÿ]|(.)\1")
 #: Runs of tokens of one to three letters or digits, with signs around them or alone.
 _PART = r"(?:[^\w\s]{0,3}\w{1,3}[^\w\s]{0,3}|[^\w\s]{1,3})(?!\S)"
 _APART = re.compile(rf"(?<!\S){_PART}(?:\s+{_PART})+")
@@ -81,18 +85,23 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p3).reshape(-1)
 
 
-def readings(token: str) -> list[list[tuple[str, float]]]:
-    """The lattice: for each position the strings it may stand for, with their costs."""
+def readings(token: str, fold: bool = True) -> list[list[tuple[str, float]]]:
+    """The lattice: for each position the strings it may stand for, with their costs; doubled letters are one
+    letter or two, or with ``fold`` off as spelled."""
     out, i = [], 0
     while i < len(token):
         c, j = token[i], i
         while j < len(token) and token[j] == c:
             j += 1
         if c.isalpha():
-            if j - i < 3:
-                out += [[(c, 0.0)]] * (j - i)
+            if j - i < 2 or j - i == 2 and not fold:
+                # Letters with one reading are one position.
+                if i and len(out[-1]) == 1 and out[-1][0][1] == 0.0:
+                    out[-1] = [(out[-1][0][0] + token[i:j], 0.0)]
+                else:
+                    out.append([(token[i:j], 0.0)])
             else:
-                out.append([(c, COST_REPEAT), (c + c, COST_REPEAT)])
+                out.append([(c, COST_REPEAT), (c + c, COST_REPEAT if j - i > 2 else 0.0)])
         elif c in LEET:
             opts = [(x, COST_LEET) for x in LEET[c]] + [(x + x, COST_LEET + COST_REPEAT) for x in LEET[c] if j - i > 1]
             out.append(opts + [("", COST_DIGIT if c.isdigit() else COST_DROP)])
@@ -104,21 +113,21 @@ def readings(token: str) -> list[list[tuple[str, float]]]:
 
 def viterbi(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> list[str]:
     """The cheapest path under channel and language model: one string for each position."""
-    states = {(EDGE, EDGE): (0.0, None)}
+    states = {EDGE: (0.0, None)}  # by the last two letters, a * K + b
     for options in lattice:
-        nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (cost, path) in states.items():
-            for s, extra in options:
-                x, y, total = a, b, cost + extra
-                for ch in s:
-                    z = INDEX.get(ch, OTHER)
-                    total += lm[x * K * K + y * K + z]
-                    x, y = y, z
-                old = nxt.get((x, y))
+        nxt: dict[int, tuple[float, tuple]] = {}
+        for s, extra in options:
+            letters = [INDEX.get(ch, OTHER) for ch in s]
+            for at, (cost, path) in states.items():
+                total = cost + extra
+                for z in letters:
+                    total += lm[at * K + z]
+                    at = at % K * K + z
+                old = nxt.get(at)
                 if old is None or total < old[0]:
-                    nxt[(x, y)] = (total, (path, s))
+                    nxt[at] = (total, (path, s))
         states = nxt
-    path, out = min((cost + lm[a * K * K + b * K + EDGE], i, path) for i, ((a, b), (cost, path)) in enumerate(states.items()))[2], []
+    path, out = min((cost + lm[at * K + EDGE], i, path) for i, (at, (cost, path)) in enumerate(states.items()))[2], []
     while path is not None:
         path, s = path
         out.append(s)
@@ -127,6 +136,7 @@ def viterbi(lattice: list[list[tuple[str, float]]], lm: np.ndarray) -> list[str]
 
 def trim(token: str, keep=()) -> str:
     """Without the signs at its edges, but those of ``keep``."""
+    token = token.strip(_PLAIN)
     i, j = 0, len(token)
     while i < j and not token[i].isalnum() and token[i] not in keep:
         i += 1
@@ -153,11 +163,12 @@ def firm(lattice: list[list[tuple[str, float]]]) -> list[list[tuple[str, float]]
     return [[o for o in options if o[0]] or options for options in lattice]
 
 
-def decode(before: str, middle: str, behind: str, lm: np.ndarray, read: bool = False) -> str:
-    """The likeliest word of the parts of a token; with ``read``, the signs at its edges are letters."""
-    if not middle or not (before or behind or _ODD.search(middle)):
+def decode(before: str, middle: str, behind: str, lm: np.ndarray, read: bool = False, fold: bool = True) -> str:
+    """The likeliest word of the parts of a token; with ``read``, the signs at its edges are letters, and with
+    ``fold`` doubled letters may be one."""
+    if not middle or not (before or behind or (_ODD if fold else _TRIPLED).search(middle)):
         return middle
-    edges, inner = [readings(before), readings(behind)], readings(middle)
+    edges, inner = [readings(before) if before else [], readings(behind) if behind else []], readings(middle, fold)
     if read:
         edges = [firm(e) for e in edges]
     if not any(c.isalpha() for c in middle):
@@ -167,20 +178,24 @@ def decode(before: str, middle: str, behind: str, lm: np.ndarray, read: bool = F
 
 def restore(token: str, lm: np.ndarray) -> str:
     """One lower-cased token as it was meant; tokens that stand for no word give none."""
-    if token.isalpha() and not _ODD.search(token):
-        return token
+    if token.isalpha():
+        return decode("", token, "", lm)
     return decode(*core_of(token), lm)
 
 
 def meanings(token: str, lm: np.ndarray) -> list[str]:
-    """The word that a token was meant as, and those with the signs at either edge all dropped or all read: marks
-    of punctuation and letters look alike there."""
-    words = [restore(token, lm)]
-    if not token.isalpha():
-        before, middle, behind = core_of(token)
+    """The word that a token was meant as, and those with its doubled letters as spelled and the signs at either
+    edge all dropped or all read: doubled letters are often meant, and marks of punctuation look like letters."""
+    core = trim(token, LEET)
+    words = [restore(core, lm)]
+    if not core.isalpha() or _ODD.search(core):
+        before, middle, behind = ("", core, "") if core.isalpha() else core_of(core)
         for a in {before, ""}:
-            for b in {behind, ""} if before or behind else ():
-                words.append(decode(a, middle, b, lm, read=True))
+            for b in {behind, ""}:
+                if before or behind:
+                    words.append(decode(a, middle, b, lm, read=True))
+                if _DOUBLED.search(middle):
+                    words.append(decode(a, middle, b, lm, read=True, fold=False))
     return [w for w in sorted(set(words)) if w]
 
 
@@ -231,7 +246,7 @@ class Reader:
     """Texts to counts of (selected) features; remembers each token's features."""
 
     def __init__(self, lm: np.ndarray, chosen: list[int] | None):
-        self.lm, self.known, self.runs = lm, {}, {}
+        self.lm, self.known, self.runs = lm.tolist(), {}, {}
         self.slot = None if chosen is None else {f: i for i, f in enumerate(chosen)}
 
     def _learn(self, token: bytes) -> tuple:
