@@ -257,6 +257,21 @@ def test_decontaminate_slot_heavy(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(i, i) for i in range(len(items))} and all(r["verbatim"] and r["coverage"] == 1.0 for r in got)
 
 
+def test_decontaminate_edited_copies_anywhere():
+    item = [f"v{i}" for i in range(20)]
+    index, vocab = decontaminate.Index([(1, " ".join(item))], 8), decontaminate.Vocabulary()
+    for start in range(45):
+        # Runs of eight, four and eight words, apart by an inserted word each.
+        tokens, *forms = vocab.read(" ".join([f"p{i}" for i in range(start)] + item[:8] + ["x"] + item[8:12] + ["y"] + item[12:]))
+        assert [j[2] for j in decontaminate.judge(tokens, index, index.hits(forms))] == [0.8], start
+    twice = "In 2019 Alice sold 12 apples and 7 pears to the shop"
+    index = decontaminate.Index([(1, twice)], 8)
+    text = " ".join(f"In {2000 + k} Maria sold {k} apples and {k + 90} pears to the shop" for k in range(20, 60))
+    tokens, *forms = vocab.read(text)
+    # All but the first window, which has more slots than half.
+    assert [j[2] for j in decontaminate.judge(tokens, index, index.hits(forms))] == [11 / 12]
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="no-sidebar"><header class="site-header"><a href="/">Site</a></header><div class="cookie-notice">We use cookies</div>
 <nav><ul><li><a href=a>A</a></ul></nav><div id=main-wrap><div class=content><h1>Big &amp; title</h1><p>Para one has\n quite some  text to be read by people, and <a href=x>one link</a>.<p>Short.
 <ul><li>item a<li>item b</ul><div class=ad>Buy</div><form>mail <input></form><p>Third para with many more words to be counted in the end, caf&eacute;.</div><div class=sidebar><a href=1>L1</a> <a href=2>L2</a></div>

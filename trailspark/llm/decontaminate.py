@@ -130,33 +130,44 @@ class Index:
         return out
 
 
+def copies(found: list[tuple], width: int) -> list[list[tuple]]:
+    """Hits, the diagonal first in each, by copy of the item: all that lie within ``width`` diagonals of any one on. A
+    copy is thus whole wherever it starts; such stretches overlap where many copies stand close."""
+    found, out, end = sorted(found, key=lambda h: h[0]), [], 0
+    for k, hit in enumerate(found):
+        if k and hit[0] == found[k - 1][0]:
+            continue
+        stop = max(end, k)
+        while stop < len(found) and found[stop][0] < hit[0] + width:
+            stop += 1
+        if stop > end:
+            out.append(found[k:stop])
+            end = stop
+    return out
+
+
 def judge(tokens: list[bytes], index: Index, hits) -> list[tuple[int, int, float, bool]]:
     """(item, consistent windows, share of the item's words they cover, verbatim) by item."""
     by_item, out = defaultdict(list), []
     for p, item, i, n, form in hits:
         by_item[item].append((p, i, n, form))
     for item, found in sorted(by_item.items()):
-        words = index.words[item]
-        # Windows that lie on one diagonal belong to one copy of the item; each copy is judged alone.
-        copies = defaultdict(list)
+        words, lined = index.words[item], []
         for p, i, n, form in found:
-            copies[(p - i) // max(8, len(words))].append((p, i, n, form))
+            here = [canonical(t.decode("utf-8", "replace")) for t in tokens[p : p + n]]
+            there = words[i : i + n]
+            if any(a[form] != b[form] for a, b in zip(here, there)):
+                continue
+            lined.append((p - i, i, n, form, [(b[form % VALUE], b[2], a[2]) for a, b in zip(here, there) if b[form % VALUE].startswith("\0")]))
+        # Windows that lie near one diagonal belong to one copy of the item; each copy is judged alone.
         best = (0, 0.0, False)
-        for group in copies.values():
-            votes, lined = Counter(), []
-            for p, i, n, form in group:
-                here = [canonical(t.decode("utf-8", "replace")) for t in tokens[p : p + n]]
-                there = words[i : i + n]
-                if any(a[form] != b[form] for a, b in zip(here, there)):
-                    continue
-                pairs = [(b[form % VALUE], b[2], a[2]) for a, b in zip(here, there) if b[form % VALUE].startswith("\0")]
-                lined.append((i, n, form, pairs))
-                votes.update(pairs)
+        for group in copies(lined, max(8, len(words))):
+            votes = Counter(pair for *_, pairs in group for pair in pairs)
             means: dict[tuple[str, str], tuple[int, str]] = {}
             for (kind, old, new), c in votes.items():
                 means[(kind, old)] = max(means.get((kind, old), (0, "")), (c, new))
             covered, good, verbatim = np.zeros(len(words), bool), 0, True
-            for i, n, form, pairs in lined:
+            for _, i, n, form, pairs in group:
                 if form == VALUE or all(means[(k, old)][1] == new for k, old, new in pairs):
                     covered[i : i + n] = True
                     good += 1
