@@ -288,6 +288,15 @@ def test_html(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_bare_text():
+    line, quote = "Bare text of the article, as old pages have it, in one line. " * 3, "A paragraph of the quotation that has its hundred characters of words and goes on to the end of line."
+    page = "<body>" + "<br>".join(f"{line}<b>{i}</b>" for i in range(10)) + "<blockquote>" + f"<p>{quote}</p>" * 5 + "</blockquote>" + "<br>".join(f"{line}{i}" for i in range(10, 20)) + "</body>"
+    got = html_extract.extract(page)
+    assert got.count("Bare text") == 60 and got.count("A paragraph") == 5 and got.index("Bare") < got.index("A paragraph") and got.rstrip().endswith("19")
+    links = " | ".join(f"<a href=/{i}>Menu {i}</a>" for i in range(30))
+    assert "Menu" not in html_extract.extract(f"<body>{links}<blockquote>" + f"<p>{quote}</p>" * 5 + "</blockquote></body>")
+
+
 def test_deobfuscation():
     counts = sum(toxicity.trigram_counts(t) for t in ["you are an idiot and a moron scum", "the stupid loser is pathetic trash"] * 50)
     lm = toxicity.language_model(counts)

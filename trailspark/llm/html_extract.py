@@ -3,7 +3,7 @@
 The page becomes a tree. Every node gets its characters per tag, adjusted by how much of its text and how
 many of its tags belong to links; a node's density sum is that of its children. The node with the largest
 sum holds the article, and the least density on its path to the body is the threshold that its ancestors'
-other children must reach to belong to the article too. Parts that say what they are (menus, forms, adverts,
+other children and their stretches of bare text must reach to belong to the article too. Parts that say what they are (menus, forms, adverts,
 notices, comments and the like) leave the tree first.
 """
 
@@ -164,6 +164,15 @@ def _prune(root: Node) -> None:
         stack += [x for x in n.items if isinstance(x, Node)]
 
 
+def _density(c: int, t: int, lc: int, lt: int, page_c: int, page_l: int) -> float:
+    """Composite density of so many characters, tags, characters in links and links, on a page of so many."""
+    if not c:
+        return 0.0
+    t, lt = max(t, 1), max(lt, 1)
+    base = math.log(c / max(c - lc, 1) * lc + page_l / page_c * c + math.e)
+    return c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0000001)) / math.log(max(base, 1.0001)) if base > 1 else c / t * math.log(max(c * t, 2))
+
+
 def _measure(root: Node) -> list[Node]:
     """Characters, tags and link shares bottom-up, then densities. Returns all nodes in page order."""
     order, stack = [], [root]
@@ -179,12 +188,7 @@ def _measure(root: Node) -> list[Node]:
         n.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
     page_c, page_l = max(root.chars, 1), root.link_chars
     for n in order:
-        c, t, lc, lt = n.chars, max(n.tags, 1), n.link_chars, max(n.link_tags, 1)
-        if not c:
-            n.density = 0.0
-            continue
-        base = math.log(c / max(c - lc, 1) * lc + page_l / page_c * c + math.e)
-        n.density = c / t * math.log(max(c / max(lc, 1) * t / lt, 1.0000001)) / math.log(max(base, 1.0001)) if base > 1 else c / t * math.log(max(c * t, 2))
+        n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, page_c, page_l)
     for n in order:
         n.total = sum(x.density for x in n.items if isinstance(x, Node))
     return order
@@ -208,6 +212,30 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
             stack.extend(reversed(x.items))
 
 
+def _kept(below: Node, above: Node, threshold: float, page_c: int, page_l: int) -> list:
+    """What stays of an ancestor: the child on the path, other children and stretches of bare text and inline
+    elements that reach the threshold, and headings."""
+    out, run = [], []
+
+    def close():
+        nodes = [x for x in run if isinstance(x, Node)]
+        c = sum(len("".join(x.split())) for x in run if isinstance(x, str)) + sum(x.chars for x in nodes)
+        counts = [sum(x.tags + 1 for x in nodes), sum(x.link_chars for x in nodes), sum(x.link_tags + (x.tag == "a") for x in nodes)]
+        whole = _density(c, *counts, page_c, page_l) >= threshold
+        out.extend(run if whole else [x for x in nodes if x.chars and x.density >= threshold])
+        run.clear()
+
+    for x in above.items:
+        if isinstance(x, str) or x is not below and x.tag not in BLOCK:
+            run.append(x)
+            continue
+        close()
+        if x is below or x.chars and (x.density >= threshold or _HEADING.fullmatch(x.tag)):
+            out.append(x)
+    close()
+    return out
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, joined by one newline; empty for null, empty and text-less pages."""
     if not page:
@@ -227,9 +255,8 @@ def extract(page: str | None) -> str:
     # An article or main element around the best node is the author's own word for the subtree.
     top = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), None)
     if top is None:
-        # Climb: of each ancestor's other children, those that reach the threshold, and headings, stay.
         for below, above in zip(path, path[1:]):
-            above.items = [x for x in above.items if x is below or isinstance(x, Node) and x.chars and (x.density >= threshold or _HEADING.fullmatch(x.tag))]
+            above.items = _kept(below, above, threshold, max(root.chars, 1), root.link_chars)
         top = len(path) - 1
     pieces: list[list[str]] = [[]]
     _blocks(path[top], pieces)
