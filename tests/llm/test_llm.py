@@ -297,6 +297,20 @@ def test_html_bare_text():
     assert "Menu" not in html_extract.extract(f"<body>{links}<blockquote>" + f"<p>{quote}</p>" * 5 + "</blockquote></body>")
 
 
+def test_html_declared_parts_with_the_article():
+    para = "A paragraph of the article with some words, a few commas, and an end."
+    body = f"<p>{para}</p>" * 6
+    side = "<div class=sidebar>" + "<a href=x>Link</a> " * 9 + "side words</div>"
+    for page in (f"<form id=aspnetForm><div>{body}</div></form>", f"<div class='content no-sidebar'>{body}</div>{side}", f"<h1>T</h1><div class='content no-sidebar'>{body}</div>",
+                 f"<aside>{body}</aside>", f"<form>{body}</form><form>{body}</form>"):
+        got = html_extract.extract(f"<html><body>{page}</body></html>")
+        assert got.count(para) == page.count(para) and "side words" not in got, page
+    for part in (f"<section class='related-work'><h2>Before us</h2>{body}</section>", f"<section id='discussion'><h2>What it means</h2>{body}</section>"):
+        assert html_extract.extract(f"<article><h1>T</h1>{body * 2}{part}</article>").count(para) == 18, part
+    for part in (f"<div id=comments>{body * 3}</div>", f"<div class=discussion><div class=comment>{body}</div></div>", "<div class=related>" + "<a href=x>Other article</a> " * 9 + "</div>", "<nav>x</nav>", f"<footer>{body * 3}</footer>", f"<aside>{body * 3}</aside>"):
+        assert html_extract.extract(f"<article><h1>T</h1>{body}</article>{part}") == "T\n" + "\n".join([para] * 6), part
+
+
 def test_deobfuscation():
     counts = sum(toxicity.trigram_counts(t) for t in ["you are an idiot and a moron scum", "the stupid loser is pathetic trash"] * 50)
     lm = toxicity.language_model(counts)

@@ -4,7 +4,7 @@ The page becomes a tree. Every node gets its characters per tag, adjusted by how
 many of its tags belong to links; a node's density sum is that of its children. The node with the largest
 sum holds the article, and the least density on its path to the body is the threshold that its ancestors'
 other children and their stretches of bare text must reach to belong to the article too. Parts that say what they are (menus, forms, adverts,
-notices, comments and the like) leave the tree first.
+notices, comments and the like) leave the tree first, unless they hold most of the page's text outside links.
 """
 
 from __future__ import annotations
@@ -35,6 +35,13 @@ DROP_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted sidebar aside widget widgets nav navbar navigation menu breadcrumb breadcrumbs "
     "pagination pager cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended "
     "comment comments commentlist disqus reply replies respond discussion toolbar skip".split())
+#: Words that turn the next one of a name into its opposite, and names that an article's sections have too: those are
+#: believed of parts that are mostly links or hold other such parts.
+NOT_NAMES = frozenset("no not non without with has hide".split())
+UNSURE_NAMES = frozenset("related recommended discussion social notice notices alert promotion subscription".split())
+#: Names of parts that may hold more text than the article, and elements that never hold it.
+LONG_NAMES = frozenset("comment comments commentlist disqus reply replies respond cookie cookies consent gdpr".split())
+NEVER_TAGS = frozenset("nav button select dialog menu".split())
 #: Names and elements that mean the frame of the page, unless they stand inside an article.
 FRAME_NAMES, FRAME_TAGS = frozenset("header footer masthead topbar bottombar foot copyright".split()), frozenset({"header", "footer"})
 KEEP = frozenset("html body main article".split())
@@ -112,18 +119,37 @@ def _inside(node: Node) -> bool:
     return False
 
 
-def _holds_article(node: Node) -> bool:
+def _holds_article(node: Node, tags: tuple[str, ...] = ("article", "main", "h1")) -> bool:
     stack = [node]
     while stack:
         n = stack.pop()
-        if n.tag in ("article", "main", "h1"):
+        if n.tag in tags:
             return True
         stack += [x for x in n.items if isinstance(x, Node)]
     return False
 
 
-def _declared(node: Node) -> bool:
-    """Whether the element says that it is no part of the article."""
+def _names(node: Node) -> set[str]:
+    words = [x.lower() for x in _NAME.findall(f"{node.attrs.get('class', '')} ; {node.attrs.get('id', '')}")]
+    return {x for before, x in zip(["", *words], words) if before not in NOT_NAMES}
+
+
+def _sure(node: Node, names: set[str]) -> bool:
+    """Whether names that an article's section may have too mean another part here."""
+    if names & (DROP_NAMES - UNSURE_NAMES) or 2 * node.link_chars >= node.chars:
+        return True
+    stack = [x for x in node.items if isinstance(x, Node)]
+    while stack:
+        n = stack.pop()
+        if _names(n) & (DROP_NAMES - UNSURE_NAMES):
+            return True
+        stack += [x for x in n.items if isinstance(x, Node)]
+    return False
+
+
+def _declared(node: Node, root: Node, titled: bool, marked: bool, strict: bool) -> bool:
+    """Whether the element says that it is no part of the article, and does not hold most of the page's text outside
+    links (which it may where an article is ``marked`` elsewhere); with ``strict`` off only what never holds an article counts."""
     if node.tag in RAW or node.tag == "head":
         return True
     if node.tag in KEEP:
@@ -131,10 +157,15 @@ def _declared(node: Node) -> bool:
     a = node.attrs
     if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
         return True
+    if node.tag in NEVER_TAGS:
+        return not _holds_article(node)
+    names = _names(node)
+    most = 2 * (node.chars - node.link_chars) > root.chars - root.link_chars
+    if not strict or most and (not marked or _inside(node)) and not (titled and (node.tag in FRAME_TAGS or names & (LONG_NAMES | FRAME_NAMES))):
+        return False
     if node.tag in DROP_TAGS and node.tag != "label":
         return not _holds_article(node)
-    names = {x.lower() for x in _NAME.findall(f"{a.get('class', '')} {a.get('id', '')}")}
-    if a.get("role", "").lower() in DROP_ROLES or names & DROP_NAMES:
+    if a.get("role", "").lower() in DROP_ROLES or names & DROP_NAMES and _sure(node, names):
         return not _holds_article(node)
     if (node.tag in FRAME_TAGS or names & FRAME_NAMES) and not (_inside(node) and node.tag != "footer" and _titles(node)):
         return not (_holds_article(node) and not _frame_only(node))
@@ -156,11 +187,11 @@ def _frame_only(node: Node) -> bool:
     return True
 
 
-def _prune(root: Node) -> None:
-    stack = [root]
+def _prune(root: Node, strict: bool = True) -> None:
+    titled, marked, stack = _holds_article(root), _holds_article(root, ("article", "main")), [root]
     while stack:
         n = stack.pop()
-        n.items = [x for x in n.items if not (isinstance(x, Node) and _declared(x))]
+        n.items = [x for x in n.items if not (isinstance(x, Node) and _declared(x, root, titled, marked, strict))]
         stack += [x for x in n.items if isinstance(x, Node)]
 
 
@@ -240,9 +271,13 @@ def extract(page: str | None) -> str:
     """The article's blocks, joined by one newline; empty for null, empty and text-less pages."""
     if not page:
         return ""
-    root = parse(page)
-    _prune(root)
-    order = _measure(root)
+    for strict in (True, False):
+        root = parse(page)
+        _measure(root)
+        _prune(root, strict)
+        order = _measure(root)
+        if root.chars:
+            break
     if not root.chars:
         return ""
     best = max(order, key=lambda n: n.total)
