@@ -41,6 +41,8 @@ MAX_LABELLED, FEATURES, HASH_BITS, CACHE_TOKENS, CACHE_RUN = 8_000, 400, 20, 400
 #: Signs that stand for no letter.
 _PLAIN = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET)
 _TRIPLED = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1")
+#: Letters that the next one does not repeat.
+_STRETCH = re.compile(r"(?:([a-zß-öø-ÿ])(?!\1))+")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
 #: Numbers as they are written, with signs around them.
 _NUMBER = re.compile(r"[^\w\s]*[$€£]?\d+(?:[.,:/+x|-]\d+)*[^\w\s]*")
@@ -90,11 +92,14 @@ def readings(token: str, fold: bool = True) -> list[list[tuple[str, float]]]:
     letter or two, or with ``fold`` off as spelled."""
     out, i = [], 0
     while i < len(token):
-        c, j = token[i], i
-        while j < len(token) and token[j] == c:
+        if m := _STRETCH.match(token, i):
+            c, j = token[i], m.end()
+        else:
+            c, j = token[i], i
+        while not m and j < len(token) and token[j] == c:
             j += 1
         if c.isalpha():
-            if j - i < 2 or j - i == 2 and not fold:
+            if m or j - i < 2 or j - i == 2 and not fold:
                 # Letters with one reading are one position.
                 if i and len(out[-1]) == 1 and out[-1][0][1] == 0.0:
                     out[-1] = [(out[-1][0][0] + token[i:j], 0.0)]
