@@ -9,19 +9,21 @@ torn files, on any file system Spark reaches:
   one after another. ``first_id`` and ``last_id`` let a reader skip files and pages, and an offset reads a
   document's frame alone.
 
-The dictionary is trained on the serialized ids of at most ``SAMPLE_DOCS`` documents, those with the
-smallest hashed ids; every document is then encoded whole.
+The dictionary is trained on the serialized ids of at most ``SAMPLE_DOCS`` documents of ``SAMPLE_BYTES`` at most,
+those with the smallest hashes; every document is then encoded whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -29,50 +31,148 @@ from pyspark.sql import functions as F
 
 from trailspark.llm.common import delete_path, new_path, text_slices, worker_cache
 
-SAMPLE_DOCS, DICT_BYTES = 400, 64 << 10
+SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 400, 64 << 10, 64 << 10
 #: Payload bytes after which a block is closed, and distinct words an encoder remembers.
-BLOCK_BYTES, CACHE_WORDS = 4 << 20, 1_000_000
+BLOCK_BYTES, CACHE_WORDS = 4 << 20, 1_500_000
+#: Bytes of text whose words are looked up together.
+SLICE_BYTES = 8 << 20
 LEVEL = 3
 
 
 #: Letters of Latin-1, which are their own composed forms and keep one character in lower case, then signs without apostrophe.
-_LETTERS_SIGNS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+_LETTERS_SIGNS = r"^(?P<a>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<b>[!-&(-/:-@\[-`{-~]*)$"
+#: The cutting rule under which letters, and the signs after them, are tokenized apart from all else.
+_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _parts(spec: dict | None, many: str) -> list[dict]:
+    return [] if spec is None else spec[many] if spec["type"] == "Sequence" else [spec]
+
+
+def reads_words(config: str) -> bool:
+    """Whether a tokenizer (its JSON) drops white space and case and cuts by ``_CUTS``, so that the ids of a text are those of its words,
+    and the ids of letters and of the signs after them follow each other. Anything unknown in it means no."""
+    spec = json.loads(config)
+    normal = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in _parts(spec.get("normalizer"), "normalizers")]
+    pre = _parts(spec.get("pre_tokenizer"), "pretokenizers")
+    added = [t["content"] for t in spec.get("added_tokens", ()) if not t.get("single_word")]
+    return (
+        set(normal) <= {("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)} and ("Lowercase", None, None) in normal
+        and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"].get("Regex") == _CUTS and pre[0]["behavior"] == "Removed" and pre[0]["invert"]
+        and not pre[1]["add_prefix_space"] and not pre[1].get("use_regex", True) and spec["model"]["type"] == "BPE" and spec["model"].get("end_of_word_suffix")
+        and not any(re.search(r"\s", t) or re.fullmatch(_LETTERS_SIGNS, t) for t in added))
+
+
+class Ragged:
+    """Rows of ids by key, appended to; emptied by its owner."""
+
+    def __init__(self, dtype: str):
+        self.row, self.length, self.ids = {}, np.zeros(1, np.int64), np.zeros(0, dtype)
+        self.start = np.zeros(1, np.int64)
+
+    def add(self, keys: list, lengths: np.ndarray, ids: np.ndarray) -> None:
+        first = len(self.row)
+        self.row.update(zip(keys, range(first, first + len(keys))))
+        ends = np.cumsum(lengths) + len(self.ids)
+        self.length = np.concatenate([self.length[:first], lengths, [0]])
+        self.start = np.concatenate([self.start[:first], ends - lengths, [0]])
+        self.ids = np.concatenate([self.ids, ids.astype(self.ids.dtype)])
+
+
+def expand(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions start, start + 1, ... of each row, one row after the other."""
+    ends = np.cumsum(length)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
 
 
 class Encoder:
-    """Whole texts to little-endian ids. White space separates words for the tokenizer, so each distinct
-    word is tokenized once and remembered; the memory is emptied at ``CACHE_WORDS``."""
+    """Whole texts to little-endian ids. Where white space separates words for the tokenizer, each distinct word of a
+    slice is looked up once and each word is tokenized once and remembered; the memory is emptied at
+    ``CACHE_WORDS``. Other tokenizers get whole texts."""
 
     def __init__(self, tokenizer_path: str, end_id: int, width: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.width = Tokenizer.from_file(tokenizer_path), width
-        self.type = f"<u{width}"
-        probe = [self.tok.encode(w, add_special_tokens=False).ids for w in ("Ab", "ab", ",.", "Ab,.")]
-        #: Whether the tokenizer ignores case and cuts between letters and signs.
-        self.cuts = probe[0] == probe[1] and probe[3] == probe[1] + probe[2] and '"Lowercase"' in self.tok.to_str(False)[:4000] and "\\\\p{L}" in self.tok.to_str(False)[:4000]
-        self.end, self.known = np.array([end_id], self.type).tobytes(), {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        docs = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        new, split = {w for d in docs for w in d if w not in known}, []
-        if self.cuts:
-            # Letters and the signs after them are tokenized apart, and letters without case: they share entries.
-            split = [(w, m[1].lower().encode(), m[2].encode()) for w in new if (m := _LETTERS_SIGNS.fullmatch(w.decode("utf-8", "replace")))]
-            new.difference_update([w for w, _, _ in split])
-            new.update(x for _, a, b in split for x in (a, b) if x and x not in known)
-        new = list(new)
+        self.tok, self.type = Tokenizer.from_file(tokenizer_path), f"<u{width}"
+        with open(tokenizer_path, encoding="utf-8") as f:
+            config = f.read()
+        self.words, self.end_id = reads_words(config), end_id
+        if self.words:
+            vocab, suffix = self.tok.get_vocab(), json.loads(config)["model"]["end_of_word_suffix"]
+            self.last = np.zeros(max(vocab.values()) + 1, bool)
+            self.last[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        self.known = Ragged(self.type)
+
+    def _tokenize(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: list[str], runs: bool) -> None:
+        """Remember words; those of ``runs`` are one run of letters or signs each and end where an end-of-word id stands."""
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, self.type).tobytes()
-        for w, a, b in split:
-            known[w] = known[a] + (known[b] if b else b"")
-        return [b"".join([known[w] for w in d]) + self.end for d in docs]
+            if runs:
+                ids = np.array(self._tokenize([" ".join(part)])[0], np.int64)
+                ends = np.flatnonzero(self.last[ids]) + 1
+                if len(ends) == len(part):
+                    self.known.add(part, np.diff(ends, prepend=0), ids)
+                    continue
+            got = self._tokenize(part)
+            self.known.add(part, np.array([len(x) for x in got], np.int64), np.array([i for x in got for i in x], np.int64))
+
+    def _rows(self, words: pa.Array, runs: bool) -> np.ndarray:
+        """Where the distinct words of an array are remembered."""
+        words, row = words.to_pylist(), self.known.row
+        new = [w for w in words if w not in row]
+        if new:
+            self._learn(new, runs)
+        return np.fromiter(map(row.__getitem__, words), np.int64, len(words))
+
+    def _by_word(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        if len(self.known.row) > CACHE_WORDS:
+            self.known = Ragged(self.type)
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy()
+        cut = pc.extract_regex(words, _LETTERS_SIGNS)
+        whole = np.asarray(cut.is_null())
+        n = len(words)
+        first, second = np.full(n, -1), np.full(n, -1)
+        first[whole] = self._rows(words.filter(pa.array(whole)), False)
+        cut = cut.drop_null()
+        for out, part in ((first, pc.utf8_lower(cut.field("a"))), (second, cut.field("b"))):
+            d = part.dictionary_encode()
+            rows = self._rows(d.dictionary, True) if "" not in (values := d.dictionary.to_pylist()) else self._with_empty(values)
+            out[np.flatnonzero(~whole)] = rows[d.indices.to_numpy()]
+        # A row before all others, of no ids, stands for what is not there.
+        start, length = np.concatenate([[0], self.known.start[:-1]]), np.concatenate([[0], self.known.length[:-1]])
+        both = np.stack([first[at], second[at]], 1).reshape(-1) + 1
+        size = length[both]
+        ids = self.known.ids[expand(start[both], size)]
+        per_word = np.concatenate([[0], np.cumsum(size)])
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        return ids, np.diff(per_word[2 * bounds])
+
+    def _with_empty(self, values: list[str]) -> np.ndarray:
+        rows = np.full(len(values), -1)
+        some = [i for i, v in enumerate(values) if v]
+        rows[some] = self._rows(pa.array([values[i] for i in some], pa.string()), True)
+        return rows
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text with the end id, as bytes. A null text is empty."""
+        texts = pc.fill_null(texts, "")
+        if self.words:
+            ids, counts = self._by_word(texts)
+        else:
+            got = self._tokenize(texts.to_pylist())
+            counts = np.array([len(x) for x in got], np.int64)
+            ids = np.array([i for x in got for i in x], self.type)
+        ends = np.cumsum(counts)
+        ids = np.insert(ids.astype(self.type, copy=False), ends, self.end_id).tobytes()
+        cuts = [0, *((ends + np.arange(1, len(ends) + 1)) * np.dtype(self.type).itemsize).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 def _encoder(*key) -> Encoder:
@@ -98,7 +198,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     """Encode every whole text, append ``end_id``, and write the file set to ``path``.
 
     A null text is empty and has the end id only. Documents come in ascending id, null ids first; rows that share
-    an id follow each other in the order of their bytes. An empty table writes a dictionary and no blocks. Other
+    an id follow each other in the order of their frames. An empty table writes a dictionary and no blocks. Other
     columns of ``docs`` are ignored, whatever their names.
     """
     from tokenizers import Tokenizer
@@ -106,17 +206,19 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     spark = docs.sparkSession
     width = 2 if Tokenizer.from_file(tokenizer_path).get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else 4
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    picked = rows.select("id").orderBy(F.xxhash64(F.lit(5), "id"), "id").limit(SAMPLE_DOCS)
-    sample = [r["text"] for r in rows.join(F.broadcast(picked.distinct()), "id", "left_semi").limit(SAMPLE_DOCS).collect()]
-    trained = _train(_encoder(tokenizer_path, end_id, width).encode(sample))
+    short = rows.where(F.octet_length("text") <= SAMPLE_BYTES).withColumn("h", F.xxhash64(F.lit(5), "id", "text"))
+    # Hashes first: the texts of the sample alone travel.
+    least = F.broadcast(short.select("h").distinct().orderBy("h").limit(SAMPLE_DOCS))
+    sample = [r["text"] for r in short.join(least, "h").select("h", "text").dropDuplicates(["h"]).orderBy("h").collect()]
+    trained = _train(_encoder(tokenizer_path, end_id, width).encode(pa.array(sample, pa.string())))
     sha = hashlib.sha256(trained).hexdigest()
     spark.createDataFrame([(sha, bytearray(trained), width)], "sha256 string, bytes binary, width int").coalesce(1).write.parquet(f"{path}/dictionary")
 
     def encode(batches):
         enc, comp = _encoder(tokenizer_path, end_id, width), zstandard.ZstdCompressor(level=LEVEL, dict_data=_dict(trained))
         for big in batches:
-            for batch in text_slices(big):
-                ids = enc.encode(batch.column("text").to_pylist())
+            for batch in text_slices(big, text_bytes=SLICE_BYTES):
+                ids = enc.encode(batch.column("text"))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("id"), pa.array([len(x) // width for x in ids], pa.int64()), pa.array([comp.compress(x) for x in ids], pa.binary())], ["id", "n", "frame"])
 
