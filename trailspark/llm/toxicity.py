@@ -15,6 +15,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,9 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "
 #: Costs of the channel, in nats: a sign read as a letter, a sign dropped, a digit dropped, a repeated letter dropped, a space dropped.
 COST_LEET, COST_DROP, COST_DIGIT, COST_REPEAT, COST_JOIN = 1.0, 1.5, 20.0, 0.5, 3.0
 #: Labelled rows and features of the fit, and tokens and runs (of so many characters at most) a worker remembers.
-MAX_LABELLED, FEATURES, HASH_BITS, CACHE_TOKENS, CACHE_RUN = 8_000, 400, 20, 400_000, 64
+MAX_LABELLED, FEATURES, CACHE_TOKENS, CACHE_RUN = 8_000, 400, 400_000, 64
+#: Letters, once repeated ones are one, by which tokens that cannot hold a chosen feature are set aside.
+HEAD = 4
 
 #: Signs that stand for no letter.
 _PLAIN = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c not in LEET)
@@ -44,6 +48,8 @@ _TRIPLED = re.compile(r"[^a-zß-öø-ÿ]|(.)\1\1")
 #: Letters that the next one does not repeat.
 _STRETCH = re.compile(r"(?:([a-zß-öø-ÿ])(?!\1))+")
 _DOUBLED = re.compile(r"([^\W\d_])\1")
+_LEADING = re.compile(r"[^\W\d_]*")
+_REPEATED = re.compile(r"(.)\1+", re.S)
 #: Numbers as they are written, with signs around them.
 _NUMBER = re.compile(r"[^\w\s]*[$€£]?\d+(?:[.,:/+x|-]\d+)*[^\w\s]*")
 _ODD = re.compile(r"[^a-zß-öø-ÿ]|(.)\1")
@@ -233,48 +239,74 @@ def join_apart(run: str, lm: np.ndarray) -> list[str]:
     return list(dict.fromkeys([w for w in words if w] + stretches(run)))
 
 
-def tokens_of(text: str | None, join=stretches) -> list[bytes]:
-    """Lower-cased tokens, and those that ``join`` makes of runs of short tokens."""
+def tokens_of(text: str | None, join=stretches) -> tuple[list[bytes], list[bytes]]:
+    """Lower-cased tokens, and the words that ``join`` makes of runs of short tokens."""
     low = (text or "").lower()
-    return low.encode("utf-8", "surrogatepass").split() + [w.encode("utf-8", "surrogatepass") for m in _APART.findall(low) for w in join(m)]
+    return low.encode("utf-8", "surrogatepass").split(), [w.encode("utf-8", "surrogatepass") for m in _APART.findall(low) for w in join(m)]
 
 
-def features_of(word: str) -> list[int]:
-    """Hashed features: the word, and its beginnings of 4 to 8 letters."""
-    if not word:
-        return []
-    names = [f"={word}", *(f"^{word[:n]}" for n in range(4, min(len(word), 8) + 1))]
-    return [zlib.crc32(n.encode()) >> (32 - HASH_BITS) for n in names]
+def features_of(word: str) -> list[str]:
+    """The word, and its beginnings of 4 to 8 letters."""
+    return [f"={word}", *(f"^{word[:n]}" for n in range(4, min(len(word), 8) + 1))] if word else []
+
 
+def collapse(letters: str) -> str:
+    """Repeated letters as one. Every reading of letters collapses to the same, and letters are never dropped."""
+    return _REPEATED.sub(r"\1", letters)
 
-class Reader:
-    """Texts to counts of (selected) features; remembers each token's features."""
 
-    def __init__(self, lm: np.ndarray, chosen: list[int] | None):
-        self.lm, self.known, self.runs = lm.tolist(), {}, {}
-        self.slot = None if chosen is None else {f: i for i, f in enumerate(chosen)}
+class Reader(dict):
+    """Texts to their (chosen) features; maps each token to its features and remembers them.
+
+    A token whose readings all begin with letters that no chosen feature begins with has none, and is not decoded; so it is
+    with the words that a run of short tokens may spell.
+    """
 
-    def _learn(self, token: bytes) -> tuple:
-        f = dict.fromkeys(f for w in meanings(token.decode("utf-8", "replace"), self.lm) for f in features_of(w))
-        return tuple(f) if self.slot is None else tuple(self.slot[x] for x in f if x in self.slot)
+    def __init__(self, lm: np.ndarray, chosen: list[str] | None):
+        self.lm, self.runs, self.slot = lm.tolist(), {}, None
+        if chosen is not None:
+            self.slot = {f: i for i, f in enumerate(chosen)}
+            heads = {f: collapse(f[1:])[:HEAD] for f in chosen}
+            self.heads, self.brief = set(heads.values()), tuple({h for h in heads.values() if len(h) < HEAD})
+            self.begun = tuple({h for f, h in heads.items() if f[0] == "^" and len(h) < HEAD})
+
+    def may_match(self, letters: str, whole: bool) -> bool:
+        """False only where no reading of ``letters`` (or with ``whole`` off, that begins with them) has a chosen feature."""
+        head = letters[:HEAD]
+        if len(head) < HEAD or head[0] == head[1] or head[1] == head[2] or head[2] == head[3]:
+            head = collapse(letters)[:HEAD]
+        if head in self.heads:
+            return True
+        return head.startswith(self.begun) if whole else len(head) < HEAD or head.startswith(self.brief)
+
+    def __missing__(self, raw: bytes) -> tuple:
+        token, found = raw.decode("utf-8", "replace").strip(_PLAIN), ()
+        whole = token.isalpha()
+        if self.slot is None or self.may_match(token if whole else _LEADING.match(token)[0], whole):
+            found = tuple(dict.fromkeys(f for w in meanings(token, self.lm) for f in features_of(w)))
+            if self.slot is not None:
+                found = tuple(self.slot[f] for f in found if f in self.slot)
+        self[raw] = found
+        return found
 
     def _join(self, run: str) -> list[str]:
         words = self.runs.get(run)
         if words is None:
-            words = join_apart(run, self.lm)
+            parts = [] if self.slot is None else [p for t in run.split() if (p := t.strip(_PLAIN))]
+            never = bool(parts) and "".join(parts).isalpha() and not any(self.may_match("".join(parts[i : i + 2 * HEAD]), False) for i in range(len(parts) - 1))
+            words = [] if never else join_apart(run, self.lm)
             if len(self.runs) > CACHE_TOKENS:
                 self.runs.clear()
             if len(run) <= CACHE_RUN:
                 self.runs[run] = words
         return words
 
-    def read(self, text: str | None) -> tuple[list[int], int]:
-        tokens, known = tokens_of(text, self._join), self.known
-        if len(known) > CACHE_TOKENS:
-            known.clear()
-        for t in set(tokens).difference(known):
-            known[t] = self._learn(t)
-        return [f for fs in filter(None, map(known.__getitem__, tokens)) for f in fs], len(tokens)
+    def read(self, text: str | None) -> tuple[list, int]:
+        """The features of a text, as often as they occur, and its number of tokens."""
+        tokens, joined = tokens_of(text, self._join)
+        if len(self) > CACHE_TOKENS:
+            self.clear()
+        return list(chain.from_iterable(filter(None, map(self.__getitem__, chain(tokens, joined))))), len(tokens)
 
 
 def values(counts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -319,21 +351,21 @@ def train(docs: DataFrame, labels: DataFrame, lm: np.ndarray, id_col: str = "doc
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small, "id").select("text", "y")
 
     def presence(batches):
-        reader, seen, n = Reader(lm, None), np.zeros((2, 1 << HASH_BITS), np.int32), [0, 0]
+        reader, seen, n = Reader(lm, None), (Counter(), Counter()), [0, 0]
         for batch in batches:
             for t, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
-                seen[y, np.unique(np.array(reader.read(t)[0], np.int64))] += 1
+                seen[y].update(set(reader.read(t)[0]))
                 n[y] += 1
-        at = np.flatnonzero(seen.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array([*at, -1], pa.int64()), pa.array([*seen[1, at], n[1]], pa.int64()), pa.array([*seen[0, at], n[0]], pa.int64())], ["f", "pos", "neg"])
+        names = sorted(seen[0].keys() | seen[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(["", *names], pa.string()), pa.array([n[1], *(seen[1][x] for x in names)], pa.int64()), pa.array([n[0], *(seen[0][x] for x in names)], pa.int64())], ["f", "pos", "neg"])
 
-    stats = texts.mapInArrow(presence, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("f < 0 or pos >= 3").toPandas()
-    n_pos, n_neg = stats.loc[stats.f < 0, ["pos", "neg"]].iloc[0] if (stats.f < 0).any() else (0, 0)
-    stats = stats[stats.f >= 0].sort_values("f")
+    stats = texts.mapInArrow(presence, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("f = '' or pos >= 3").toPandas()
+    n_pos, n_neg = stats.loc[stats.f == "", ["pos", "neg"]].iloc[0] if (stats.f == "").any() else (0, 0)
+    stats = stats[stats.f != ""].sort_values("f")
     if not n_pos or not n_neg:
         return [], np.array([-5.0])
     picked = choose(stats.pos.to_numpy(float), stats.neg.to_numpy(float), int(n_pos), int(n_neg))
-    chosen = [int(stats.f.iloc[i]) for i in picked]
+    chosen = [stats.f.iloc[i] for i in picked]
 
     def vectors(batches):
         reader = Reader(lm, chosen)
