@@ -95,24 +95,27 @@ def text_slices(batch: pa.RecordBatch, column: str = "text", text_bytes: int = 4
 
 # Membership filters --------------------------------------------------------------------
 
-#: 2**27 bits: at most 4,096 rows of 4 KB, 16 MB however large the key set is.
-FILTER_BITS = 27
+#: 16 bits a key, in at most 2**30 bits: 128 MB however large the key set is, rows of 4 KB.
+LEAST_BITS, MOST_BITS = 16, 30
 
 
-def _slot(key: Column) -> Column:
-    return F.pmod(key, F.lit(1 << FILTER_BITS)) + F.lit(1)
+def _slot(key: Column, bits: int) -> Column:
+    return F.pmod(key, F.lit(1 << bits)) + F.lit(1)
 
 
 def key_filter(keys: DataFrame, key: str) -> DataFrame:
-    """A bitmap over hashed 64-bit keys. Its size is bounded by ``FILTER_BITS``, never by the data,
+    """A bitmap over hashed 64-bit keys, sized by their number and bounded by ``MOST_BITS``,
     so it may be broadcast; like a Bloom filter it has false hits but no misses."""
-    k = keys.select(_slot(F.col(key)).alias("s"))
-    return k.groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    size = min(MOST_BITS, max(LEAST_BITS, keys.count().bit_length() + 4))
+    k = keys.select(_slot(F.col(key), size).alias("s"))
+    out = k.groupBy(F.bitmap_bucket_number("s").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("_bits"))
+    out._trailspark_bits = size
+    return out
 
 
 def with_membership(df: DataFrame, bits: DataFrame, key: Column, flag: str) -> DataFrame:
     """Add a boolean ``flag``: false only for keys that are surely not in the filter. No row moves."""
-    s = _slot(key)
+    s = _slot(key, bits._trailspark_bits)
     at = F.bitmap_bit_position("_s")
     byte = F.conv(F.hex(F.substring("_bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     hit = F.coalesce(byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (at % 8 + 1).cast("int"))) != 0, F.lit(False))
@@ -121,3 +124,33 @@ def with_membership(df: DataFrame, bits: DataFrame, key: Column, flag: str) -> D
         .join(F.broadcast(bits), "_bucket", "left")
         .withColumn(flag, hit).drop("_s", "_bucket", "_bits")
     )
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str) -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (one column of ids), with all their columns; null equals null.
+
+    A bitmap of bounded size sets apart the rows that may be in it, so that only those are joined and no other row moves.
+    """
+    gone = materialise(gone.toDF("_gone").distinct(), "gone")
+    bits = key_filter(gone.select(F.xxhash64("_gone").alias("k")), "k")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_id"))
+    marked = with_membership(rows, bits, F.xxhash64("_id"), "_maybe")
+    kept = marked.where("_maybe").join(gone, F.col("_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return marked.where("NOT _maybe").unionByName(kept).select("_row.*")
+
+
+#: A key is hot where it has more than one row in HOT_SHARE; there are at most HOT_SHARE such keys.
+HOT_SHARE, SALTS = 1_000, 64
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, keys: list[str], count: str, salt: Column, total: int | None = None) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row a key; ``count``: how many of ``rows`` have it), no key in one task.
+
+    Rows of hot keys are dealt by ``salt`` over ``SALTS`` copies of their key's row. The hot keys, at most ``HOT_SHARE``,
+    are broadcast.
+    """
+    total = (keyed.agg(F.sum(count)).first()[0] or 0) if total is None else total
+    hot = keyed.where(F.col(count) > total / HOT_SHARE).select(*keys, F.lit(True).alias("_hot"))
+    dealt = rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(salt, F.lit(SALTS))).otherwise(0).cast("int")).drop("_hot")
+    many = F.when(F.col(count) > total / HOT_SHARE, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(keyed.withColumn("_salt", F.explode(many)), [*keys, "_salt"]).drop("_salt")

@@ -3,18 +3,20 @@
 Words lose their case and edge punctuation; numbers, units and names become typed placeholders whose values are
 kept as slots. Windows of template words of the benchmark and of the documents meet in a hash join (the
 benchmark's side is a block of bounded size that every task holds, so documents never move; a larger
-benchmark takes one pass per block). A hit counts when its words agree, half of them are no slots, and
-its slots are consistent: over all hits of a document and an item, one value of the item always became the
-same value of the document. Two canonical forms are joined, with and without names as slots, so that changes of
-case and changes of names are both caught. Windows of more slots, and items of fewer than four words, meet by
-their values instead, so that copies which keep the values are found whatever they hold. A document holds an item when consistent windows cover
-half of the item's words.
+benchmark takes one pass per block). A hit counts when its words agree and half of them are no slots. The slots of a
+copy must be consistent: one value of the item always becomes the same value of the document, and two values never become
+one. A copy whose slots clash is judged again by each of its diagonals (an inserted word may part two copies), and one that
+clashes there too has only the windows that keep the item's values. Two canonical forms are joined, with and without names as
+slots, so that changes of case and changes of names are both caught. Windows of more slots, and items of fewer than
+four words, meet by their values instead, so that copies which keep the values are found whatever they hold. A
+document holds an item when such windows cover half of the item's words.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +29,26 @@ from trailspark.llm.shingles import windows
 
 WINDOW, COVERAGE = 8, 0.5
 #: Benchmark text that a task holds at once, and tokens that a worker remembers.
-BLOCK_BYTES, CACHE_TOKENS = 32 << 20, 500_000
+BLOCK_BYTES, CACHE_TOKENS = 32 << 20, 1_000_000
 
+#: Number words and units in the languages of the corpus; digits, signs and the shape of names need no list.
 NUMBER_WORDS = frozenset(
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred "
-    "thousand million billion half third quarter dozen".split())
+    "thousand million billion half third quarter dozen "
+    "zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante cent mille demi douzaine "
+    "null zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend dutzend "
+    "cero dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa cien ciento mil medio docena".split())
 UNITS = frozenset(
     "mm cm m km inch inches foot feet ft yard yards mile miles mg g kg gram grams kilogram kilograms ton tons ounce ounces lb lbs pound pounds ml l liter liters litre litres gallon gallons ms s sec second seconds "
     "minute minutes hour hours day days week weeks month months year years meter meters metre metres kilometer kilometers kilometre kilometres centimeter centimeters dollar dollars cent cents euro euros percent "
-    "degree degrees mph kmh watt watts volt volts joule joules newton newtons hz khz mhz ghz".split())
+    "degree degrees mph kmh watt watts volt volts joule joules newton newtons hz khz mhz ghz "
+    "heure heures jour jours semaine semaines mois an ans année années mètre mètres kilomètre kilomètres gramme grammes degré degrés "
+    "sekunde sekunden minuten stunde stunden tag tage tagen woche wochen monat monate jahr jahre jahren kilometern gramm grad "
+    "segundo segundos minuto minutos hora horas día días semana semanas mes meses año años metro metros kilómetro kilómetros gramo gramos grado grados".split())
 _NUMBER = re.compile(r"[+-]?[$€£]?\d[\d.,:/]*%?")
 _MEASURE = re.compile(r"[+-]?\d[\d.,]*([a-zA-Z]+)")
+#: Signs that are no part of a word at either of its ends.
+_EDGE_SIGNS = "!\"#&'()*,./:;<=>?@[\\]^`{|}~"
 _EDGE = re.compile(r"^[^\w$€£+-]+|[^\w%]+$")
 NUM, UNIT, NAME, MEASURE = "\0num", "\0unit", "\0name", "\0measure"
 #: The form of a word that is its value.
@@ -46,7 +57,15 @@ VALUE = 2
 
 def canonical(token: str) -> tuple[str, str, str] | None:
     """(word with numbers and units typed, the same with names typed, value); None for bare punctuation."""
-    word = _EDGE.sub("", token)
+    word = token.strip(_EDGE_SIGNS)
+    if word.isalpha():
+        low = word.lower()
+        if low in NUMBER_WORDS:
+            return NUM, NUM, low
+        if low in UNITS:
+            return UNIT, UNIT, low
+        return low, NAME if word[0].isupper() and not word[1:].isupper() else low, low
+    word = _EDGE.sub("", word)
     if not any(c.isalnum() for c in word):
         return None
     low = word.lower()
@@ -70,13 +89,16 @@ class Vocabulary:
     def __init__(self):
         self.known: dict[bytes, int] = {}
         self.hashes = np.zeros((1 << 10, 3), np.uint64)
+        self.typed = {x: _hash(x) for x in (NUM, UNIT, NAME, MEASURE)}
 
     def _learn(self, token: bytes) -> None:
         n = len(self.known) + 1
         if n == len(self.hashes):
             self.hashes = np.vstack([self.hashes, np.zeros_like(self.hashes)])
         c = canonical(token.decode("utf-8", "replace"))
-        self.hashes[n] = (0, 0, 0) if c is None else [_hash(x) for x in c]
+        if c is not None:
+            low = _hash(c[VALUE])
+            self.hashes[n] = [low if x is c[VALUE] else self.typed[x] for x in c]
         self.known[token] = n
 
     def read(self, text: str | None) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -84,6 +106,7 @@ class Vocabulary:
         tokens, known = (text or "").encode("utf-8", "surrogatepass").split(), self.known
         if len(known) > CACHE_TOKENS:
             known.clear()
+            self.hashes[:] = 0
         for t in set(tokens).difference(known):
             self._learn(t)
         rows = self.hashes[np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))]
@@ -146,8 +169,28 @@ def copies(found: list[tuple], width: int) -> list[list[tuple]]:
     return out
 
 
+def consistent(pairs) -> bool:
+    """Whether every value of the item has one value in the document, and no two have the same one."""
+    there, back = {}, {}
+    return all(there.setdefault((kind, old), new) == new and back.setdefault((kind, new), old) == old for kind, old, new in pairs)
+
+
+def assess(group: list[tuple], size: int) -> tuple[int, float, bool]:
+    """(windows that count, share of the item's words they cover, verbatim) of one copy."""
+    if not consistent(pair for *_, pairs in group for pair in pairs):
+        if len({h[0] for h in group}) > 1:
+            alone = [list(g) for _, g in groupby(sorted(group, key=lambda h: h[0]), key=lambda h: h[0])]
+            return max((assess(g, size) for g in alone), key=lambda b: (b[1], b[0]))
+        group = [h for h in group if all(old == new for _, old, new in h[-1])]
+    covered, verbatim = np.zeros(size, bool), True
+    for _, i, n, _, pairs in group:
+        covered[i : i + n] = True
+        verbatim &= all(old == new for _, old, new in pairs)
+    return len(group), float(covered.mean()), verbatim
+
+
 def judge(tokens: list[bytes], index: Index, hits) -> list[tuple[int, int, float, bool]]:
-    """(item, consistent windows, share of the item's words they cover, verbatim) by item."""
+    """(item, windows that count, share of the item's words they cover, verbatim) by item."""
     by_item, out = defaultdict(list), []
     for p, item, i, n, form in hits:
         by_item[item].append((p, i, n, form))
@@ -160,58 +203,53 @@ def judge(tokens: list[bytes], index: Index, hits) -> list[tuple[int, int, float
                 continue
             lined.append((p - i, i, n, form, [(b[form % VALUE], b[2], a[2]) for a, b in zip(here, there) if b[form % VALUE].startswith("\0")]))
         # Windows that lie near one diagonal belong to one copy of the item; each copy is judged alone.
-        best = (0, 0.0, False)
-        for group in copies(lined, max(8, len(words))):
-            votes = Counter(pair for *_, pairs in group for pair in pairs)
-            means: dict[tuple[str, str], tuple[int, str]] = {}
-            for (kind, old, new), c in votes.items():
-                means[(kind, old)] = max(means.get((kind, old), (0, "")), (c, new))
-            covered, good, verbatim = np.zeros(len(words), bool), 0, True
-            for _, i, n, form, pairs in group:
-                if form == VALUE or all(means[(k, old)][1] == new for k, old, new in pairs):
-                    covered[i : i + n] = True
-                    good += 1
-                    verbatim &= all(old == new for _, old, new in pairs)
-            best = max(best, (good, float(covered.mean()), verbatim), key=lambda b: (b[1], b[0]))
+        best = max((assess(group, len(words)) for group in copies(lined, max(8, len(words)))), key=lambda b: (b[1], b[0]), default=(0, 0.0, False))
         if best[0]:
             out.append((item, *best))
     return out
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document and item it holds: id, item_id, n_windows, coverage, verbatim.
-
-    Null or empty texts hold nothing, and items without a word are held by nothing; items shorter than a window
-    are one window, and those of fewer than four words are found by their values only. Repeated rows give repeated results; of items that share an id the last read in
-    order of their texts counts. Null item ids are left out, null document ids are kept. Without items, or on an
-    empty table, there are no rows. Other columns are ignored, whatever their names.
-    """
-    src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, item_text: str, block_bytes: int):
+    """For each block of the benchmark, of ``block_bytes`` of text, what turns texts to lists of what ``judge`` finds."""
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("t"))
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    blocks, out = max(1, -(-total // block_bytes)), None
-    id_type = src.schema["id"].dataType.simpleString()
+    blocks = max(1, -(-total // block_bytes))
     for b in range(blocks):
         rows = sorted((r["item"], r["t"] or "") for r in items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect())
         shared = docs.sparkSession.sparkContext.broadcast((rows, window))
         stamp = f"{b}:{window}:{hash(tuple(rows))}"
 
-        def run(batches, shared=shared, stamp=stamp):
+        def find(texts, coverage, shared=shared, stamp=stamp):
             cache = worker_cache()
             if cache.get("decontaminate_stamp") != stamp:
                 cache |= {"decontaminate_stamp": stamp, "decontaminate": Index(*shared.value), "vocabulary": Vocabulary()}
             index, vocab = cache["decontaminate"], cache["vocabulary"]
+            for text in texts:
+                tokens, *forms = vocab.read(text)
+                hits = index.hits(forms)
+                yield [j for j in judge(tokens, index, hits) if j[2] >= coverage] if hits else ()
+
+        yield find
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document and item it holds: id, item_id, n_windows, coverage, verbatim.
+
+    Null or empty texts hold nothing, and items without a word are held by nothing; items shorter than a window
+    are one window, and those of fewer than four words are found by their values only. Repeated rows give repeated
+    results; of items that share an id the last read in order of their texts counts. Null item ids are left out, null
+    document ids are kept. Without items, or on an empty table, there are no rows. Other columns are ignored, whatever
+    their names.
+    """
+    src, out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), None
+    id_type = src.schema["id"].dataType.simpleString()
+    for find in _blocks(docs, benchmark, window, item_col, item_text, block_bytes):
+
+        def run(batches, find=find):
             for big in batches:
                 for batch in text_slices(big):
-                    at, found = [], []
-                    for k, text in enumerate(batch.column("text").to_pylist()):
-                        tokens, *forms = vocab.read(text)
-                        hits = index.hits(forms)
-                        for j in judge(tokens, index, hits) if hits else ():
-                            if j[2] >= coverage:
-                                at.append(k)
-                                found.append(j)
-                    cols = list(zip(*found)) or [(), (), (), ()]
+                    found = [(k, *j) for k, js in enumerate(find(batch.column("text").to_pylist(), coverage)) for j in js]
+                    at, *cols = list(zip(*found)) or [()] * 5
                     yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(at, pa.int64())), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
                                                       pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())], ["id", "item_id", "n_windows", "coverage", "verbatim"])
 
@@ -220,7 +258,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
     return out.withColumnRenamed("id", id_col)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with all their columns."""
-    gone = contaminated(docs, benchmark, id_col=id_col, **options).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns, each row by its own text: ids do not matter, and no row moves."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"))
+    schema = rows.schema
+    for find in _blocks(docs, benchmark, window, item_col, item_text, block_bytes):
+
+        def run(batches, find=find):
+            for big in batches:
+                for batch in text_slices(big):
+                    yield batch.filter(pa.array([not js for js in find(batch.column("text").to_pylist(), coverage)], pa.bool_()))
+
+        rows = rows.mapInArrow(run, schema)
+    return rows.select("_row.*")
