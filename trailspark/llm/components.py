@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import drop_table, materialise
+from trailspark.llm.common import drop_table, materialise, spread_join
 
 
 def _state(edges: DataFrame):
@@ -20,10 +20,12 @@ def components(edges: DataFrame) -> DataFrame:
     state = _state(cur)
     while True:
         both = cur.unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("c")).where("c > 0").select("u", F.least("u", "m").alias("m"), "c")
+        # A star's centre may have a third of all edges.
+        starred = spread_join(both.where("v > u"), least, ["u"], "c", F.xxhash64("v"), state["n"])
+        large = starred.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        small = spread_join(large, down, ["u"], "c", F.xxhash64("v"), state["n"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nxt = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), "edges")
         before, state = state, _state(nxt)
         drop_table(cur)

@@ -3,8 +3,8 @@
 Texts are equal when identical after lower-casing A-Z. Pass one reads each text for its byte
 length and the hash of a short prefix; lengths held by one row, then (length, prefix) pairs held by
 one row, leave the race. Only survivors have their whole content hashed (SHA-256), grouped, and
-joined back. Text itself never crosses the network: pass two decides map-side, by a broadcast bitmap of
-bounded size, which rows survive.
+joined back, rows of a large group dealt over many tasks. Text itself never crosses the network: pass two decides
+map-side, by a broadcast bitmap of bounded size, which rows survive.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import ascii_lower, key_filter, materialise, with_membership
+from trailspark.llm.common import ascii_lower, key_filter, materialise, spread_join, with_membership, without_ids
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", prefix_chars: int = 128, hash_all: bool = False) -> DataFrame:
@@ -30,15 +30,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lengths = sig.groupBy("_len").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # Counts by (length, prefix) are small; the length test then runs on them, not on rows.
     pairs = sig.groupBy("_len", "_prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    alive = pairs.join(lengths.select("_len"), "_len", "left_semi").select(F.xxhash64("_len", "_prefix").alias("k"))
+    alive = materialise(pairs.join(lengths.select("_len"), "_len", "left_semi").select(F.xxhash64("_len", "_prefix").alias("k")), "alive")
     marked = with_membership(base.select("*", *probe), key_filter(alive, "k"), F.xxhash64("_len", "_prefix"), "_alive")
     content = F.sha2(F.encode("_text", "UTF-8"), 256)
     hashed = materialise(
         marked.select("_id", "_alive", (content if hash_all else F.when(F.col("_alive"), content)).alias("_full")), "hashed"
     )
     survivors = hashed.where("_alive").select("_id", "_full")
-    groups = survivors.groupBy("_full").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n"))
-    out = survivors.join(groups, "_full").select("_id", "_keep", "_n", "_full")
+    groups = materialise(survivors.groupBy("_full").agg(F.max("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")), "groups")
+    out = spread_join(survivors, groups, ["_full"], "_n", F.xxhash64("_id")).select("_id", "_keep", "_n", "_full")
     alone = hashed.where("NOT _alive").select("_id", F.col("_id").alias("_keep"), F.lit(1).cast("long").alias("_n"), "_full")
     return out.unionByName(alone).select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_n").alias("group_size"),
@@ -47,6 +47,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    keep = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep_id")).distinct()
-    return docs.join(keep, docs[id_col].eqNullSafe(keep["_keep_id"]), "left_semi")
+    """The rows of ``docs`` that stay, with all their columns. Rows that repeat an id share its fate, so identical rows stay together."""
+    return without_ids(docs, exact_dedup(docs, id_col, text_col).where("NOT kept").select(id_col), id_col)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm import shingles as S
-from trailspark.llm.common import key_filter, materialise, text_slices, with_membership
+from trailspark.llm.common import key_filter, materialise, spread_join, text_slices, with_membership, without_ids
 from trailspark.llm.components import components
 
 ROWS_PER_BAND, BATCH = 5, 20
@@ -110,7 +110,11 @@ class Forest:
 def confirm(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent: int, bounds) -> list[tuple[int, int]]:
     """Spanning links among the members of one task. ``sides``: with two values, only pairs across them count."""
     n, links, forest = len(sets), [], Forest(len(sets))
-    bands = sigs.reshape(n, -1, ROWS_PER_BAND)
+    # Buckets: the members of each band by its value.
+    bands = np.ascontiguousarray(sigs.reshape(n, -1, ROWS_PER_BAND)).view(f"V{4 * ROWS_PER_BAND}")[..., 0].T
+    coded = [np.unique(band, return_inverse=True)[1] for band in bands]
+    by_code = [np.argsort(code, kind="stable") for code in coded]
+    first = [np.searchsorted(code[at], np.arange(code.max() + 2)) for code, at in zip(coded, by_code)]
     size = np.array([len(s) for s in sets])
     across = len(set(sides.tolist())) > 1
     flat = np.concatenate(sets)
@@ -118,11 +122,16 @@ def confirm(sigs: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, percent
     order = np.argsort(flat, kind="stable")
     values, owners = flat[order], owner[order]
     for i in range(n - 1):
-        other = np.flatnonzero((forest.roots()[i + 1 :] != forest.find(i)) & ((sides[i + 1 :] != sides[i]) | (not across))) + i + 1
+        apart = (forest.roots() != forest.find(i)) & ((sides != sides[i]) | (not across))
+        apart[: i + 1] = False
+        if not apart.any():
+            continue
+        shared = np.zeros(n, bool)
+        for code, at, begin in zip(coded, by_code, first):
+            shared[at[begin[code[i]] : begin[code[i] + 1]]] = True
+        other = np.flatnonzero(shared & apart)
         lo, hi = np.minimum(size[other], size[i]), np.maximum(size[other], size[i])
         other = other[100 * lo >= percent * hi]
-        if len(other):
-            other = other[(bands[other] == bands[i]).all(axis=2).any(axis=1)]
         if len(other):
             other = other[_agree(np.broadcast_to(sigs[i], (len(other), sigs.shape[1])), sigs[other], bounds)]
         if not len(other):
@@ -176,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = S.WORDS, mi
     Rows with equal shingle sets, or whose sets share at least ``percent`` % of their union, are linked; a
     component is named by the smallest id reachable, and that row is kept. Null texts and texts without words have
     no shingles and are linked with nothing. Rows that repeat an id are one document for links.
-    Rows with a null id take the component of an equal set that has an id, else none (null). An empty table gives no
+    Rows with a null id have no component to be named by (null), are linked with nothing and kept. An empty table gives no
     rows. Other columns are ignored, whatever their names.
     """
     bands = bands_for(percent, miss)
@@ -184,7 +193,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = S.WORDS, mi
     bounds = bayes_bounds(percent, miss, perms)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = materialise(_signed(texts, perms, words), "signed")
-    classes = materialise(signed.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig")), "classes")
+    classes = materialise(signed.where("cls is not null and id is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count(F.lit(1)).alias("rows")), "classes")
     width = 4 * ROWS_PER_BAND
     keyed = classes.select("id", F.explode(F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring(sig, i * {width} + 1, {width})))")).alias("key"))
     heads = keyed.groupBy("key").agg(F.min("id").alias("u"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "u")
@@ -193,14 +202,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, words: int = S.WORDS, mi
     full = _sets(wanted, words).join(_members(clusters), "id").join(classes.select("id", "sig", "cls"), ["id", "cls"])
     links = materialise(_compare(full, percent, bounds), "links")
     labels = materialise(components(links), "labels")
-    reps = classes.join(labels, "id", "left").select("cls", F.coalesce("component", "id").alias("component"))
-    out = signed.where("cls is not null").select("id", "n", "cls").join(reps, "cls", "left").select("id", "n", "component")
-    bare = signed.where("cls is null").select("id", "n", F.col("id").alias("component"))
+    reps = classes.join(labels, "id", "left").select("cls", F.coalesce("component", "id").alias("component"), "rows")
+    # Most classes have one row, whose component is their own or that of its label; large ones are dealt over many tasks.
+    out = spread_join(signed.where("cls is not null and id is not null").select("id", "n", "cls"), materialise(reps, "reps"), ["cls"], "rows", F.xxhash64("id")).select("id", "n", "component")
+    bare = signed.where("cls is null or id is null").select("id", "n", F.col("id").alias("component"))
     return out.unionByName(bare).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                                         F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns; of rows that repeat an id and text, each."""
-    gone = near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    return without_ids(docs, near_duplicates(docs, id_col=id_col, **options).where("NOT kept").select(id_col), id_col)
