@@ -5,7 +5,8 @@ part is given; of the fractional parts, two documents at a time compete: word ma
 other in a random direction until one of them is integral, with odds that keep each document's
 expectation. Moves keep the words of the pair, so a block ends with its exact share of words and one
 undecided document. Undecided documents of ``FAN_IN`` blocks meet on the next level of the tree, until one
-per source is left and rounded by itself: a source misses its target by less than one document.
+per source is left and rounded to the nearer side: a source misses its target by half a document at most. Large documents
+meet first on every level, so the one that is left is mostly small.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def pivot(size: np.ndarray, p: np.ndarray, draws: Iterable[float]) -> np.ndarray
 
 def _level(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_h", "_size", "_id"], kind="stable").reset_index(drop=True)
+        pdf = pdf.sort_values(["_size", "_h", "_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.Generator(np.random.PCG64([seed, *(pdf["_h"].to_numpy(np.int64)[[0, -1]].astype(np.uint64).tolist()), len(pdf)]))
         p = pivot(pdf["_size"].to_numpy(np.float64), pdf["_p"].to_numpy(np.float64), rng.random(len(pdf)))
         open_ = (p > EPS) & (p < 1 - EPS)
@@ -88,7 +89,7 @@ def _level(seed: int):
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: float = 3.0, seed: int = 29, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: id, size, source_size, target, copies, _crc (of the text).
+    """One row per input row: id, size, source_size, target, copies, _source, _crc (of the text).
 
     size counts words (null text: 0). Texts without words have no mass to move: each is rounded by its
     own draw, from its hash. A null source is a source of its own. Repeated rows are
@@ -119,24 +120,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), max_copies: flo
         level = level.where("_p > 0").withColumn("_block", F.floor(F.col("_block") / FAN_IN).cast("long"))
         if max([p[4] for p in plan], default=1) <= FAN_IN**depth:
             break
-    done.append(level.withColumn("_copies", F.col("_copies") + (own_draw < F.col("_p")).cast("long")).withColumn("_p", F.lit(0.0)))
+    done.append(level.withColumn("_copies", F.col("_copies") + (F.col("_p") >= 0.5).cast("long")).withColumn("_p", F.lit(0.0)))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
     return out.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
-                      F.col("_target").alias("target"), F.col("_copies").alias("copies"), "_crc")
+                      F.col("_target").alias("target"), F.col("_copies").alias("copies"), "_source", "_crc")
 
 
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with all columns."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    key = ["_mid", "_crc", "_size"]
-    taken = mix(docs, **options).select(F.col(id_col).alias("_mid"), "_crc", F.col("size").alias("_size"), "copies")
-    # Rows that repeat an id and its text get one decision each.
-    nth = lambda order: F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    taken = taken.withColumn("_nth", nth("copies")).where("copies > 0").withColumnRenamed("_mid", "_tid").select(
-        "_tid", F.col("_crc").alias("_tcrc"), F.col("_size").alias("_tsize"), F.col("_nth").alias("_tnth"), "copies")
-    keyed = docs.select(F.struct(*docs.columns).alias("_row"), F.col(id_col).alias("_mid"), F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")).alias("_crc"),
-                        word_count(F.col(text_col)).alias("_size")).withColumn("_nth", nth(F.lit(0)))
-    both = keyed.join(taken, F.col("_mid").eqNullSafe(F.col("_tid")) & (F.col("_crc") == F.col("_tcrc")) & (F.col("_size") == F.col("_tsize")) & (F.col("_nth") == F.col("_tnth")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("_row.*")
+    # One key for every row, nulls too. Rows that share it are equal in all that counts, and the mix takes them the least number
+    # of times or once more: the first ones take the extra copies. Window and join use one shuffle.
+    key = lambda source, crc, size: F.xxhash64(F.col(id_col), F.col(source), crc, size).alias("_k")
+    taken = mix(docs, **options).groupBy(key("_source", F.col("_crc"), F.col("size"))).agg(
+        F.min("copies").alias("_least"), (F.sum("copies") - F.min("copies") * F.count(F.lit(1))).alias("_extra")).where("_least + _extra > 0")
+    crc, size = F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary")), word_count(F.col(text_col))
+    keyed = docs.select(F.struct(*docs.columns).alias("_row"), key(options.get("source_col", "source"), crc, size))
+    both = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy("_k").orderBy(F.lit(0)))).join(taken, "_k")
+    copies = (F.col("_least") + (F.col("_nth") <= F.col("_extra")).cast("long")).alias("_copies")
+    return both.select("_row", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
