@@ -1,8 +1,8 @@
 """Proportional stratified interleaving into shards, law ``rows``.
 
 Rows are shuffled by a seeded hash and ranked within their source; the fractional rank
-``(rank + 1/2) / rows of the source`` puts every source evenly over [0, 1), so consecutive cuts of
-the order by fractional rank match the mixture. Both rankings are exact and distributed: a source
+``(rank + offset) / rows of the source``, with an offset in [0, 1) from the source's hash, puts every source evenly over
+[0, 1), so consecutive cuts of the order by fractional rank match the mixture, and sources of one row spread too. Both rankings are exact and distributed: a source
 is cut into hash buckets and the unit interval into equal cells, each small enough for one task, and
 the offset of a bucket is a prefix sum over counts.
 """
@@ -51,7 +51,9 @@ def shard_rows(docs: DataFrame, shards: int = 16, seed: int = 17, id_col: str =
     ranked = sized.withColumn("_r", F.row_number().over(in_bucket))
     ranked = ranked.join(counts, ranked["_source"].eqNullSafe(counts["_s2"]) & (ranked["_bucket"] == counts["_b2"])).withColumn(
         "_rank", F.col("_before") + F.col("_r") - 1)
-    ranked = ranked.withColumn("_frac", (F.col("_rank") + F.lit(0.5)) / F.col("_total"))
+    # A source's rows are even, and begin where its hash says, so that small sources do not meet in the middle.
+    begin = F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_source"), 33) / F.lit(float(1 << 31))
+    ranked = ranked.withColumn("_frac", (F.col("_rank") + begin) / F.col("_total"))
     ranked = materialise(ranked.select("_id", "_size", "_crc", "_source", "_frac", *[c for c in rows.columns if c.startswith("_carry_")]), "ranked")
     n = totals.agg(F.sum("_total")).first()[0] or 0
     cells = max(1, -(-n // BUCKET_ROWS))
@@ -78,7 +80,7 @@ def _few(df: DataFrame, limit: int = 10_000) -> bool:
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write one folder per shard, rows in slot order."""
+    """Write one folder per shard. Its files hold ranges of slots, in slot order; several tasks write a large shard."""
     carry = [c for c in docs.columns if c not in (options.get("id_col", "doc_id"), "shard", "slot", "size", "text_crc32")]
     placed = shard_rows(docs, carry=carry, **options)
-    placed.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
