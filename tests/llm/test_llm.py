@@ -1,6 +1,7 @@
 """Each corpus operator against brute force and on hard rows: nulls, empty and long texts, repeats, empty tables, clashing columns."""
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -102,7 +103,7 @@ def test_mixing(spark, rows):
         largest[s] = max(largest[s], r["size"])
         assert 0 <= r["copies"] <= 3
     for s in sizes:
-        assert abs(taken[s] - target[s]) <= largest[s] + 1e-6 and target[s] <= 3 * sizes[s] + 1e-6
+        assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6 and target[s] <= 3 * sizes[s] + 1e-6
     assert abs(sum(target.values()) - sum(sizes.values())) < 1e-6 * sum(sizes.values())
     assert mixing.mix(table(spark, [])).count() == 0
 
@@ -187,6 +188,40 @@ def test_line_runs(spark):
 STRINGS = ["<|end|>", "</s>[INST] ok [/INST]", "<\\|a", "<<SYS>>x<</SYS>>", "[\\\\INST]", "plain", "", "a\\", "<<|turn|>", "<s", "\n<|text|>\n"]
 
 
+def test_sources_of_one_row_spread(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 50)
+    got = sharding.shard_rows(table(spark, [(i, f"t{i}", f"s{i}") for i in range(800)])).collect()
+    assert Counter(Counter(r["shard"] for r in got).values()) == Counter({50: 16})
+    apart = Counter(r["doc_id"] * 16 // 800 == r["shard"] for r in got)
+    assert apart[False] > 600  # by the source's hash, not by the table's order
+
+
+def test_write_shards(spark, rows, tmp_path):
+    docs = table(spark, rows).drop("size")
+    sharding.write_shards(docs, str(tmp_path / "s"), shards=4)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert Counter((r["doc_id"], r["text"]) for r in back.collect()) == Counter((i, t) for i, t, _ in rows)
+    assert sorted((r["shard"], r["slot"]) for r in back.select("shard", "slot").collect()) == sorted((s, k) for s, n in Counter(r["shard"] for r in back.collect()).items() for k in range(n))
+
+
+def test_rows_without_ids(spark, rows):
+    some = [(None, rows[0][1], "a"), (None, "w " * 9, "b"), *rows[:3], (700, rows[0][1], "a")]
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(table(spark, some)).collect())
+    assert got == Counter({(None, None, True): 2, (0, 0, True): 1, (1, 1, True): 1, (2, 2, True): 1, (700, 0, False): 1})
+    assert Counter(r["doc_id"] for r in minhash.drop_near_duplicates(table(spark, some)).collect()) == Counter([None, None, 0, 1, 2])
+    twice = [(1, "Same", "a"), (1, "same", "a"), (0, "SAME", "b"), (None, "x", "c"), (2, None, "c")]
+    assert Counter(r["doc_id"] for r in exact_dedup.drop_exact_duplicates(table(spark, twice)).collect()) == Counter([1, 1, None, 2])
+
+
+def test_hot_keys_are_dealt(spark):
+    from trailspark.llm.common import spread_join
+
+    left = spark.range(4000).selectExpr("if(id < 3000, 0, id) k", "id")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("c"))
+    out = spread_join(left, right, ["k"], "c", F.xxhash64("id"))
+    assert out.count() == 4000 and out.select("id").distinct().count() == 4000 and out.where("k = 0 and c = 3000").count() == 3000
+
+
 def test_chat_escape(spark):
     rng = random.Random(1)
     texts = STRINGS + ["".join(rng.choice(["<", "[", "\\", "|", "s>", "/s>", "INST]", "/INST]", "<SYS>>", "a"]) for _ in range(12)) for _ in range(400)]
@@ -230,6 +265,22 @@ def test_tokens(spark, rows, tmp_path):
     assert token_output.read_document(spark, str(tmp_path / "t"), 153) == [ids[153]]
 
 
+def test_tokens_hard_rows(spark, tmp_path):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    every = [(None, "null id", "s"), (None, None, "s"), (3, "same", "s"), (3, "same", "s"), (3, "other text", "s"), (-1, " \n\t", "s"), (9, "x" * 5000 + " a-b--c\u00a0d ÉCOLE ß ŠÉ i̇ İ", "s")]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):  # by words, and whole texts
+        path, where = str(public_tokenizers.path(name)), str(tmp_path / name)
+        tok = Tokenizer.from_file(path)
+        assert token_output.Encoder(path, 2, 2).words == (name[0] == "w")
+        token_output.write_tokens(table(spark, every), where, path)
+        got = Counter((r["doc_id"], tuple(np.frombuffer(r["ids"], "<u2").tolist())) for r in token_output.read_tokens(spark, where).collect())
+        assert got == Counter((i, (*tok.encode(t or "", add_special_tokens=False).ids, 2)) for i, t, _ in every)
+        token_output.write_tokens(table(spark, []), where + "0", path)
+        assert token_output.read_tokens(spark, where + "0").count() == 0
+
+
 def test_decontaminate(spark):
     rng = random.Random(2)
     item = "In 2019 Alice Smith sold 12 apples and 7 pears to the shop for 12 dollars while rain fell over green hills"
@@ -241,10 +292,64 @@ def test_decontaminate(spark):
     bench = spark.createDataFrame([(9, item), (10, "w1 w2"), (11, None), (None, item)], "item_id long, text string")
     for size in (32 << 20, 60):  # one block, and a pass per block
         got = {r["doc_id"]: r for r in decontaminate.contaminated(df, bench, block_bytes=size).collect()}
-        assert {1, 2, 3} <= set(got) <= {1, 2, 3, 8} and got[1]["verbatim"] and not got[2]["verbatim"] and got[1]["coverage"] == 1.0
-        assert got[8]["coverage"] < 1 if 8 in got else True
+        assert set(got) == {1, 2, 3} and got[1]["verbatim"] and not got[2]["verbatim"] and got[1]["coverage"] == 1.0
     kept = decontaminate.drop_contaminated(df, bench)
-    assert kept.columns == df.columns and {4, 5, 6, 7} <= {r["doc_id"] for r in kept.collect()} and decontaminate.contaminated(df.limit(0), bench).count() == 0
+    assert kept.columns == df.columns and {4, 5, 6, 7, 8} == {r["doc_id"] for r in kept.collect()} and decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_decontaminate_other_languages_and_clashes(spark):
+    item = "Le train de Paris à Lyon part à douze heures et roule pendant sept heures avant de freiner dans la plaine verte"
+    again = "Le train de Nantes à Brest part à vingt heures et roule pendant neuf heures avant de freiner dans la plaine verte"
+    merged = "Le train de Nantes à Brest part à neuf heures et roule pendant neuf heures avant de freiner dans la plaine verte"
+    docs = [(1, item), (2, again), (3, merged), (3, merged), (None, again), (4, "x " * 30_000 + again), (5, None)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in docs], "doc_id long, text string, id int")
+    bench = spark.createDataFrame([(7, item), (8, None)], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"], r["verbatim"]) for r in decontaminate.contaminated(df, bench).collect())
+    assert got == Counter([(1, 7, True), (2, 7, False), (None, 7, False), (4, 7, False)])
+    assert Counter(r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()) == Counter([3, 3, 5])
+    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.drop_contaminated(df.limit(0), bench).count()
+
+
+def brute_contaminated(docs, items, window=8, coverage=0.5):
+    """Word by word: every alignment of every item with every document, no hashes and no index; for copies without insertions."""
+    out, read = set(), lambda t: [c for x in (t or "").split() if (c := decontaminate.canonical(x))]
+    for i, text in docs:
+        d = read(text)
+        for k, item in items:
+            w = read(item)
+            n = min(window, len(w))
+            for shift in range(-len(w) + 1, len(d)):
+                hits = []
+                for a in range(len(w) - n + 1 if w else 0):
+                    if not 0 <= a + shift <= len(d) - n:
+                        continue
+                    here, there = d[a + shift : a + shift + n], w[a : a + n]
+                    for form in range(3):
+                        few = n >= 4 and 2 * sum(x[form % 2].startswith("\0") for x in there) <= n
+                        if few == (form < 2) and [x[form] for x in here] == [x[form] for x in there]:
+                            hits.append((a, {(x[form % 2], x[2], y[2]) for x, y in zip(there, here) if x[form % 2].startswith("\0")}))
+                pairs = set().union(*(p for _, p in hits)) if hits else set()
+                clash = len({(k, o) for k, o, _ in pairs}) < len(pairs) or len({(k, v) for k, _, v in pairs}) < len(pairs)
+                good = {a + j for a, p in hits if not clash or all(o == v for _, o, v in p) for j in range(n)}
+                if w and len(good) >= coverage * len(w) and good:
+                    out.add((i, k))
+    return out
+
+
+def test_decontaminate_brute_force(spark):
+    rng = random.Random(12)
+    vocab = ["the", "sold", "green", "apples", "rain", "over", "hill", "Alice", "Bob", "Rome", "12", "7", "9", "km", "two", "hours", "5kg", "a"]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [(k, text(rng.choice([1, 2, 3, 5, 9, 14, 20]))) for k in range(12)]
+    docs = []
+    for i in range(80):
+        body = list(rng.choice(items)[1])
+        for _ in range(rng.randrange(3)):  # changed words of a copy
+            body[rng.randrange(len(body))] = rng.choice(vocab)
+        docs.append((i, " ".join([f"q{j}x" for j in range(rng.randrange(50))] + body + [f"r{j}x" for j in range(5)])))
+    items = [(k, " ".join(w)) for k, w in items]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == brute_contaminated(docs, items)
 
 
 def test_decontaminate_slot_heavy(spark):
@@ -316,7 +421,7 @@ def test_deobfuscation():
     lm = toxicity.language_model(counts)
     for noisy, plain in (("id1ot", "idiot"), ("m0r0n", "moron"), ("stuuuupid", "stupid"), ("p@thetic", "pathetic"), ("s.t.u.p.i.d", "stupid"), ("tr4sh!!", "trash"), ("plain,", "plain"), ("123", ""), ("$$$", "")):
         assert toxicity.restore(noisy, lm) == plain
-    assert b"idiot" in toxicity.tokens_of("You I d i o t now")
+    assert b"idiot" in toxicity.tokens_of("You I d i o t now")[1]
 
 
 ENGLISH = ["you are such a loser and an idiot and a moron scum", "the stupid loser is pathetic trash and what an imbécile he is in the end"] * 50
@@ -326,9 +431,9 @@ def test_deobfuscation_of_spacing():
     lm = toxicity.language_model(sum(toxicity.trigram_counts(t) for t in ENGLISH))
     reader = toxicity.Reader(lm, None)
     for noisy, plain in (("such a l o s e r", "loser"), ("what s c u m, he", "scum"), ("i  d  i  o  t", "idiot"), ("so st up id", "stupid"), ("stu pid", "stupid"), ("s . c . u . m", "scum"), ("an i m b é c i l e", "imbécile"), ("m 0 r o n", "moron")):
-        assert plain.encode() in toxicity.tokens_of(noisy, reader._join), noisy
+        assert plain.encode() in toxicity.tokens_of(noisy, reader._join)[1], noisy
         assert set(toxicity.features_of(plain)) <= set(reader.read(noisy)[0])
-    assert toxicity.tokens_of("1 2 3 4", reader._join) == [b"1", b"2", b"3", b"4"]
+    assert toxicity.tokens_of("1 2 3 4", reader._join) == ([b"1", b"2", b"3", b"4"], [])
     assert reader._join(" ".join("stupid" * 20_000)) and max(map(len, reader.runs)) <= toxicity.CACHE_RUN
 
 
@@ -351,6 +456,45 @@ def test_deobfuscation_of_doubled_letters():
     assert all(w in toxicity.meanings(w, lm) for w in ("all", "good", "asshole", "pussy", "unseenn"))
 
 
+def brute_decode(lattice, lm):
+    """The least cost over every path of a lattice."""
+    best = None
+    for path in itertools.product(*lattice):
+        a = b = 0
+        cost = sum(extra for _, extra in path)
+        for ch in "".join(s for s, _ in path):
+            z = toxicity.INDEX.get(ch, toxicity.OTHER)
+            cost, a, b = cost + lm[a * toxicity.K**2 + b * toxicity.K + z], b, z
+        cost += lm[a * toxicity.K**2 + b * toxicity.K]
+        best = cost if best is None else min(best, cost)
+    return best
+
+
+def test_viterbi_against_all_paths():
+    lm = toxicity.language_model(sum(toxicity.trigram_counts(t) for t in ENGLISH)).tolist()
+    rng = random.Random(3)
+    for _ in range(300):
+        lattice = toxicity.readings("".join(rng.choice("aabiot01!|$@s.") for _ in range(rng.randrange(1, 8))))
+        if rng.random() < 0.5:
+            lattice = lattice + [[("", toxicity.COST_JOIN), (" ", 0.0)]] + toxicity.readings(rng.choice(["it", "d0", "!"]))
+        path = toxicity.viterbi(lattice, lm)
+        assert len(path) == len(lattice)
+        chosen = [[o for o in options if o[0] == s][:1] for s, options in zip(path, lattice)]
+        assert abs(brute_decode(chosen, lm) - brute_decode(lattice, lm)) < 1e-9
+
+
+def test_tokens_set_aside_have_no_chosen_feature():
+    lm = toxicity.language_model(sum(toxicity.trigram_counts(t) for t in ENGLISH))
+    chosen = [f for w in ("idiot", "moron", "ass", "stupid", "aa", "aaaa", "scum") for f in toxicity.features_of(w)]
+    fast, slow = toxicity.Reader(lm, chosen), toxicity.Reader(lm, None)
+    rng = random.Random(8)
+    bits = ["id", "i", "d", "iot", "mor", "0n", "as", "s", "a", "aa", "!", "1", "sc", "um", "u", "st", "pid", " ", " ", ",", "x", "zz", "o"]
+    for _ in range(3000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(1, 9)))
+        want = Counter(f for f in slow.read(text)[0] if f in fast.slot)
+        assert Counter(chosen[i] for i in fast.read(text)[0]) == want, text
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     docs, labels = [], []
