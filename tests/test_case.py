@@ -39,15 +39,20 @@ def home(tmp_path_factory):
     db.executemany("INSERT INTO logs VALUES (?,?,?,?)", [(1, 1700000000, "INFO", "plain row"), (2, 1700000000000, "ERROR", 'UserInput { text: "hi there", x }'), (3, None, "INFO", "")])
     db.commit()
     db.close()
-    with zipfile.ZipFile(root / "more.zip", "w") as z:
-        z.writestr("home/.codex/sessions/b.jsonl", json.dumps(CODEX[0] | {"timestamp": "2026-01-03T00:00:00Z"}) + "\n")
+    (c / "cut.json").write_text('{"role": "user", "content": "never clo')
+    (root / ".codex/torn.sqlite").write_bytes(b"no database at all")
+    for name, member in (("more.zip", "b.jsonl"), ("home/.codex/sessions/inside.zip", "never.jsonl")):  # an input, and a file in a folder
+        at = root.parent / name if name == "more.zip" else root / ".codex/sessions/inside.zip"
+        with zipfile.ZipFile(at, "w") as z:
+            z.writestr(f"home/.codex/sessions/{member}", json.dumps(CODEX[0] | {"timestamp": "2026-01-03T00:00:00Z"}) + "\n")
+    (root.parent / "bad.zip").write_bytes(b"PK but no archive")
     (root / "edr.csv").write_text("timestamp,message,event_type,user,computer,pid,destination_host\n2026-01-02T03:04:05Z,curl ran,ProcessEvent,al,h1,7,evil.example.com\n2026-01-02T03:04:06Z,net,ProcessRollup2,al,h1,7,127.0.0.1\n")
     return root
 
 
 @pytest.fixture(scope="module")
 def case(spark, home):
-    return Engine(spark).analyze([str(home)], [str(home / "edr.csv")])
+    return Engine(spark).analyze([str(home), str(home), *(str(home.parent / z) for z in ("more.zip", "bad.zip"))], [str(home / "edr.csv")])
 
 
 def rows(df, *cols):
@@ -96,6 +101,9 @@ def test_delta(case):
 def test_diagnostics(case, home):
     got = {f.rsplit("/", 1)[1]: (s, d) for f, s, d in rows(case.diagnostics, "file", "status", "detail")}
     assert got["a.jsonl"] == ("parsed", "codex-session: 4 events") and "skip.jsonl" not in got and got["edr.csv"][1] == "external_csv: 2 events"
+    assert got["b.jsonl"] == ("parsed", "codex-session: 1 events") and "never.jsonl" not in got and "inside.zip" not in got
+    assert got["bad.zip"][0] == "read-error" and got["bad.zip"][1]
+    assert got["cut.json"] == ("parse-error", "multi-agent-json: not valid JSON") and got["torn.sqlite"] == ("parse-error", "sqlite: file is not a database")
 
 
 def test_write(spark, case, tmp_path):

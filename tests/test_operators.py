@@ -78,15 +78,40 @@ def test_redaction_keeps_length(spark):
 
 def test_walks():
     doc = {"a": {"role": "", "x": [1, True, None, {"image": "no", "t": "yes"}]}, "b": {"role": "User"}}
-    assert json_walk.flatten_text(doc) == "\n1\nTrue\nyes\nUser"
-    assert json_walk.first_value(doc, ["role"]) == "User" and json_walk.first_value({"n": 0}, ["n"]) == 0
-    assert json_walk.role_and_text({"role": "User", "content": [{"type": "input_text", "text": "hi"}]}) == ("user", "input_text\nhi")
+    assert json_walk.leaf_text(doc) == "\n1\nTrue\nyes\nUser"
+    near = lambda d, *keys: json_walk.pick(json_walk.nearest(d, frozenset(keys)), keys)
+    assert near(doc, "role") == "User" and near({"n": 0}, "n") == 0 and near({"n": False}, "n") is False and near({}, "n") is None
+    # Depth counts before document order, then document order before the order of the keys.
+    assert near({"x": {"y": {"k": 1}}, "z": {"k": 2}}, "k") == 2 and near({"x": [{"j": 3}], "z": [{"k": 2}]}, "k", "j") == 3 and near({"K": 5}, "k") == 5
+    assert json_walk.said({"role": "User", "content": [{"type": "input_text", "text": "hi"}]}) == ("user", "input_text\nhi")
+    assert json_walk.said({"text": " ", "payload": {"content": "c"}}) == ("", "c") and json_walk.said([1]) == ("", "")
+    deep = "[" * 100_000 + "]" * 100_000
+    assert json_walk.parsed(deep) == (False, None)
 
 
-def test_repair():
-    assert repair.repair_mojibake("cafÃ©") == "café"
-    assert repair.normalize_message("input_text\nA &amp; B\\n\\n\\n\\nC") == "A & B\n\nC"
-    assert repair.near_duplicate("a" * 25, "a" * 25 + " n") and not repair.near_duplicate("a" * 25, "a" * 25 + " tail")
+@pytest.mark.parametrize("raw,iso", [('{"ts": 1700000000000}', "2023-11-14T22:13:20+00:00"), ('{"ts": true}', "1970-01-01T00:00:01+00:00"), ('{"ts": "1700000000"}', "1700000000"), ('{"ts": 1700000000000000000}', "1700000000000000000"), ("{}", "")])
+def test_record_times(spark, raw, iso):
+    df = spark.createDataFrame([(raw,)], "v string").select(json_walk.record(F.col("v"), {}, payload=False).alias("r"))
+    assert df.select(json_walk.time_of("r").alias("t")).first()["t"] == iso
+
+
+@pytest.mark.parametrize("raw,meant", [("cafÃ©", "café"), ("itâ€™s", "it’s"), ("plain Ã", "plain Ã"), ("", ""), ("Ã© 日", "Ã© 日"), ("Â\u0080", "\u0080")])
+def test_mojibake(spark, raw, meant):
+    assert one(spark, repair.mojibake_repaired(F.col("v")), v=raw) == meant
+
+
+@pytest.mark.parametrize("raw,meant", [("input_text\nA &amp; B\\n\\n\\n\\nC", "A & B\n\nC"), ("a\\u00e9b\\ud83d\\ude00 \\ud83d.", "aéb😀 �."), ("x \t\n\t y\r\nz\u2028w", "x\ny\nz\nw"), ("&lt;b&gt; \\\"q\\\"", '<b> "q"'), (None, ""), ("\0a", "a")])
+def test_normalized(spark, raw, meant):
+    assert one(spark, repair.normalized(F.col("v")), v=raw) == meant
+
+
+@pytest.mark.parametrize("raw,meant", [("It’s “A” — B", "its a - b"), ("\\\\\\2315; x", "\\2315; x"), ("A  \n b", "a b"), ("`c`", "c")])
+def test_folded(spark, raw, meant):
+    assert one(spark, repair.folded(F.col("v")), v=raw) == meant
+
+
+def test_begins():
+    assert repair.begins("a" * 25, "a" * 25 + " n") and not repair.begins("a" * 25, "a" * 25 + " tail") and not repair.begins("ab", "abc")
 
 
 def talk(spark, rows):

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from itertools import takewhile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,6 +53,7 @@ def candidates(events: DataFrame) -> DataFrame:
         starts = starts | F.col("message").startswith(c)
     df = df.where((F.col("message") != "") & ~starts & ((F.col("event_type") != "ASSISTANT RESPONSE") | is_clean_response(F.col("message"), F.col("action"))))
     df = df.withColumn("label", F.when(F.lower("role").isin("user", "human"), "user").otherwise("agent")).withColumn("folded", repair.folded(F.col("message")))
+    df = df.withColumn("even", repair.even_depth(F.col("folded")))
     return df.withColumn("us", F.unix_micros(S.iso_timestamp(F.col("timestamp_utc"))))
 
 
@@ -65,34 +69,29 @@ def build_replay(events: DataFrame) -> DataFrame:
     The look-back depends on every row accepted before, over all sessions, so it runs as one fold over the
     eligible messages in order: what people and assistants said in one case, not the case's events.
     """
-    cols = ["timestamp_utc", "event_number", "session_key", "agent", "label", "event_type", "message", "folded", "us"]
+    cols = ["timestamp_utc", "event_number", "session_key", "agent", "label", "event_type", "message", "folded", "even", "us"]
     rows = candidates(events).withColumn("prio", source_priority()).select(*cols, "prio")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "prio", "event_number"], na_position="last", kind="stable")
-        seen, kept, out = set(), [], []
-        for i, (role, text, us) in enumerate(zip(pdf["label"], pdf["folded"], pdf["us"])):
-            key = (role, text)
-            if key in seen or _seen_before(kept, role, text, us):
-                continue
-            seen.add(key)
-            kept.append((role, text, us))
-            out.append(i)
+        # Rows of one fingerprint after the first accepted one are out wherever they stand; the last accepted rows decide on the rest.
+        accepted, recent, out = set(), deque(maxlen=LOOK_BACK), []
+        for at, row in enumerate(pdf[["label", "folded", "even", "us"]].itertuples(index=False)):
+            if (row.label, row.folded) not in accepted and not echoed(row, recent):
+                accepted.add((row.label, row.folded))
+                recent.appendleft(row)
+                out.append(at)
         return pdf.iloc[out][cols]
 
     got = rows.withColumn("_case", F.lit("")).groupBy("_case").applyInPandas(fold, rows.select(*cols).schema)
     return got.select("timestamp_utc", "event_number", "session_key", S.first_text(S.text("agent"), F.lit("unknown")).alias("agent"), F.col("label").alias("role"), "event_type", "message")
 
 
-def _seen_before(kept: list, role: str, text: str, us) -> bool:
-    for r, t, at in reversed(kept[-LOOK_BACK:]):
-        if r != role:
-            continue
-        if not pd.isna(us) and not pd.isna(at) and abs(us - at) > WINDOW_US:
-            return False
-        if repair.near_duplicate(t, text):
-            return True
-    return False
+def echoed(row, recent) -> bool:
+    """Whether a message repeats one of the same role among the ``recent`` ones, the latest first, up to the first that is
+    too far off in time; without a time nothing is too far off."""
+    near = takewhile(lambda r: not abs(row.us - r.us) > WINDOW_US, (r for r in recent if r.label == row.label))
+    return any(row.folded == r.folded or (row.folded and r.folded and (row.even == r.even or repair.begins(row.folded, r.folded))) for r in near)
 
 
 def by_day(replay: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -59,22 +60,46 @@ def visible_roots(spark: SparkSession, *inputs: str) -> list[str]:
     return roots
 
 
+FILE = "path string, content binary, length long, modificationTime timestamp, error string"
+
+
 def read_files(spark: SparkSession, *inputs: str) -> DataFrame:
-    """(path, content, length, modificationTime) of all files under the inputs; archives are expanded, with
-    paths relative to the archive (``name.zip!/member``)."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(visible_roots(spark, *inputs)).select("path", "content", "length", "modificationTime")
-    zipped = F.lower("path").endswith(".zip")
+    """(path, content, length, modificationTime, error) of the files under the inputs, each once.
+
+    An input that is itself an archive is expanded, its members' paths being ``name.zip!/member``; archives found inside a
+    folder are files like any other. A broken archive, or a broken member, gives a row with ``error`` and no content.
+    """
+    archives = [i for i in inputs if i.rstrip("/").lower().endswith(".zip")]
+    folders = [i for i in inputs if i not in archives]
 
     def members(batches):
         for pdf in batches:
             for path, content, when in zip(pdf["path"], pdf["content"], pdf["modificationTime"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for m in z.infolist():
-                        if not m.is_dir():
-                            data = z.read(m)
-                            yield pd.DataFrame({"path": [f"{path}!/{m.filename}"], "content": [data], "length": [len(data)], "modificationTime": [when]})
-
-    return raw.where(~zipped).unionByName(raw.where(zipped).mapInPandas(members, raw.schema))
+                try:
+                    z = zipfile.ZipFile(io.BytesIO(content))
+                except (zipfile.BadZipFile, OSError, ValueError) as e:
+                    yield pd.DataFrame({"path": [path], "content": [None], "length": [0], "modificationTime": [when], "error": [str(e)]})
+                    continue
+                for m in z.infolist():
+                    if m.is_dir():
+                        continue
+                    data, error = None, None
+                    try:
+                        data = z.read(m)
+                    except (zipfile.BadZipFile, OSError, ValueError, RuntimeError, NotImplementedError, zlib.error) as e:
+                        error = str(e) or type(e).__name__
+                    yield pd.DataFrame({"path": [f"{path}!/{m.filename}"], "content": [data], "length": [len(data or b"")], "modificationTime": [when], "error": [error]})
+
+    def load(paths: list[str]) -> DataFrame:
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        return read.load(sorted(set(paths))).select("path", "content", "length", "modificationTime")
+
+    parts = []
+    if folders:
+        parts.append(load(visible_roots(spark, *folders)).withColumn("error", F.lit(None).cast("string")))
+    if archives:
+        parts.append(load(archives).mapInPandas(members, FILE))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def lines_of(files: DataFrame) -> DataFrame:
@@ -121,7 +146,7 @@ def parse_codex(files: DataFrame) -> DataFrame:
                               *[F.when(counted, F.coalesce(tokens[k], F.lit(""))).alias(k) for k in ("input_tokens", "cached_input_tokens", "output_tokens", "reasoning_output_tokens", "total_tokens")],
                               F.when(counted, "cumulative").alias("token_usage_kind")))
     return conform(df.select(
-        F.col("r.ts").alias("timestamp_utc"), F.lit("codex").alias("agent"), pick("Prompt", "AssistantMessage", "ToolOrAction", "SessionOrTurn").alias("category"),
+        json_walk.time_of("r").alias("timestamp_utc"), F.lit("codex").alias("agent"), pick("Prompt", "AssistantMessage", "ToolOrAction", "SessionOrTurn").alias("category"),
         pick("UserInput", "AssistantOutput", "ToolEvent", "SessionEvent").alias("action"), text.alias("text"), details.alias("details"), *[_val(k).alias(k) for k in IDS], F.lit("codex_session_jsonl").alias("source_type"),
         "source_file", F.col("source_line").cast("string").alias("source_line"), S.hash_text(F.concat(text, F.lit("\n"), details)).alias("evidence_hash"), meta.alias("metadata"), _val("type").alias("record_type"),
         F.col("r.role").alias("role"), eligible.alias("conversation_eligible"), F.when(counted, "cumulative").otherwise("").alias("token_usage_kind"), _ordinal().alias("ingest_ord")))
@@ -177,7 +202,7 @@ def parse_gemini(files: DataFrame, list_dir: str = "read_file") -> DataFrame:
                 if isinstance(c, dict):
                     a = c.get("args", {})
                     a = a if isinstance(a, dict) else {"value": a}
-                    out.append((i, json_walk.as_text(c.get("name") or ""), {k: json.dumps(v, ensure_ascii=False) for k, v in a.items()}, json.dumps(a, ensure_ascii=False)))
+                    out.append((i, json_walk.shown(c.get("name") or ""), {k: json.dumps(v, ensure_ascii=False) for k, v in a.items()}, json.dumps(a, ensure_ascii=False)))
             return out
 
         return s.map(one)
@@ -239,7 +264,7 @@ def parse_jsonl(files: DataFrame) -> DataFrame:
     category = F.when(prompt, "Prompt").when(answer, "AssistantMessage").when(tool, "ToolOrAction").otherwise("Runtime")
     action = F.when(prompt, "UserInput").when(answer, "AssistantOutput").when(tool, S.first_text(_val("action"), F.lit("ToolEvent"))).otherwise(_val("action"))
     return conform(df.select(
-        F.col("r.ts").alias("timestamp_utc"), "agent", category.alias("category"), action.alias("action"), F.when(prompt | answer, F.col("r.text")).otherwise("").alias("text"),
+        json_walk.time_of("r").alias("timestamp_utc"), "agent", category.alias("category"), action.alias("action"), F.when(prompt | answer, F.col("r.text")).otherwise("").alias("text"),
         F.when(prompt | answer, "").otherwise(F.left("r.flat", F.lit(DETAIL))).alias("details"), *[_val(k).alias(k) for k in IDS], F.concat("agent", F.lit("_jsonl")).alias("source_type"), "source_file",
         F.col("source_line").cast("string").alias("source_line"), S.hash_text(F.concat("r.text", F.lit("\n"), "r.flat")).alias("evidence_hash"), F.lit('{"adapter_confidence": "best-effort"}').alias("metadata"), _ordinal().alias("ingest_ord")))
 
@@ -253,7 +278,7 @@ def parse_json(files: DataFrame) -> DataFrame:
     prompt, answer = F.col("r.role").isin("user", "human"), F.col("r.role").isin("assistant", "ai", "model")
     pick = lambda a, b, c: F.when(prompt, a).when(answer, b).otherwise(c)
     return conform(df.select(
-        F.col("r.ts").alias("timestamp_utc"), "agent", pick("Prompt", "AssistantMessage", "Runtime").alias("category"), pick("UserInput", "AssistantOutput", "Record").alias("action"),
+        json_walk.time_of("r").alias("timestamp_utc"), "agent", pick("Prompt", "AssistantMessage", "Runtime").alias("category"), pick("UserInput", "AssistantOutput", "Record").alias("action"),
         F.when(prompt | answer, F.col("r.text")).otherwise("").alias("text"), F.when(prompt | answer, "").otherwise(F.left("r.flat", F.lit(DETAIL))).alias("details"), *[_val(k).alias(k) for k in names],
         F.concat("agent", F.lit("_json")).alias("source_type"), "source_file", F.col("source_line").cast("string").alias("source_line"), S.hash_text(F.col("r.text")).alias("evidence_hash"),
         F.lit('{"adapter_confidence": "best-effort"}').alias("metadata"), _ordinal().alias("ingest_ord")))
@@ -293,25 +318,35 @@ ADAPTERS = (
 
 
 def dispatch(files: DataFrame, adapters: tuple[Adapter, ...] = ADAPTERS) -> DataFrame:
-    """Distinct artifact files with the name of the adapter of highest priority that takes them (null: none)."""
-    df = files.where(is_artifact()).dropDuplicates(["path"]).withColumn("sample", F.make_valid_utf8(F.substring("content", 1, 8192).cast("string")))
+    """Artifact files with the name of the adapter of highest priority that takes them (null: none). The path test comes
+    before any content is read."""
+    df = files if "error" in files.columns else files.withColumn("error", F.lit(None).cast("string"))
+    df = df.where(is_artifact() | F.col("error").isNotNull()).withColumn("sample", F.make_valid_utf8(F.substring("content", 1, 8192).cast("string")))
     chosen = F.lit(None).cast("string")
     for a in sorted(adapters, key=lambda a: a.priority):
         chosen = F.when(a.matches(), a.name).otherwise(chosen)
-    return df.withColumn("adapter", chosen).drop("sample")
+    return df.withColumn("adapter", F.when(F.col("error").isNull(), chosen)).drop("sample")
+
+
+def broken(adapter: Column, content: Column) -> Column:
+    """Why a file cannot be parsed at all, as its adapter would say; null where it can."""
+    text = F.regexp_replace(F.make_valid_utf8(content.cast("string")), "^\\ufeff", "")
+    no_json = (adapter == "multi-agent-json") & F.try_parse_json(text).isNull()
+    no_database = (adapter == "sqlite") & (F.octet_length(content) > 0) & ~(F.substring(content, 1, 15).cast("string") == "SQLite format 3")
+    return F.when(no_json, "not valid JSON").when(no_database, "file is not a database")
 
 
 def ingest(files: DataFrame, adapters: tuple[Adapter, ...] = ADAPTERS) -> tuple[DataFrame, DataFrame]:
-    """(events, diagnostics) of a listing of files."""
-    found, events = dispatch(files, adapters), None
+    """(events, diagnostics) of a listing of files. A file that cannot be read or parsed gives a diagnostic and no event, and the others go on."""
+    found, events = dispatch(files, adapters).withColumn("why", broken(F.col("adapter"), F.col("content"))), None
     for a in adapters:
-        part = a.parse(found.where(F.col("adapter") == a.name))
+        part = a.parse(found.where((F.col("adapter") == a.name) & F.col("why").isNull()).drop("why", "error"))
         events = part if events is None else events.unionByName(part)
     per = events.groupBy(F.col("source_file").alias("path")).agg(F.count(F.lit(1)).alias("n"))
     detail = F.concat("adapter", F.lit(": "), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" events"))
-    diagnostics = found.select("path", "adapter").join(per, "path", "left").select(
-        F.col("path").alias("file"), F.when(F.col("adapter").isNull(), "unsupported").otherwise("parsed").alias("status"), F.when(F.col("adapter").isNull(), "").otherwise(detail).alias("detail"))
-    return events, diagnostics
+    status = F.when(F.col("error").isNotNull(), "read-error").when(F.col("adapter").isNull(), "unsupported").when(F.col("why").isNotNull(), "parse-error").otherwise("parsed")
+    said = F.when(status == "read-error", F.col("error")).when(status == "unsupported", "").when(status == "parse-error", F.concat("adapter", F.lit(": "), "why")).otherwise(detail)
+    return events, found.select("path", "adapter", "error", "why").join(per, "path", "left").select(F.col("path").alias("file"), status.alias("status"), said.alias("detail"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
