@@ -180,6 +180,20 @@ def test_line_dedup(spark):
     assert line_dedup.line_dedup(df.limit(0)).count() == 0
 
 
+def test_line_dedup_hard_rows(spark):
+    rng = random.Random(6)
+    shared = "\n".join(words(rng, 6, 10**6) for _ in range(70))  # a run of many lines, in most texts
+    texts = [(i, f"own {i} line\n{shared}\nend of {i}") for i in range(60)]
+    long = "\n".join(f"line {i} of a very long text with some words" for i in range(8_000))
+    hard = texts + [(100, long), (101, "head\n" + long), (3, texts[3][1]), (None, shared), (None, "x"), (200, None), (201, "")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in hard], "doc_id long, text string, r int").repartition(5)
+    got = Counter((r["doc_id"], r["text"], r["n_lines"], r["n_removed"]) for r in line_dedup.line_dedup(df).collect())
+    want = Counter((i, f"own {i} line\nend of {i}", 72, 70) for i, _ in texts)
+    want[(3, "own 3 line\nend of 3", 72, 70)] = 2
+    want += Counter([(100, long, 8000, 0), (101, "head", 8001, 8000), (None, shared, 70, 0), (None, "x", 1, 0), (200, "", 1, 0), (201, "", 1, 0)])
+    assert got == want
+
+
 def test_line_runs(spark):
     df = spark.createDataFrame([(1, "x y\nz w\nq\nend"), (2, "new\nx y\nz w\nq\nother")], "doc_id long, text string")
     assert [tuple(r) for r in line_dedup.repeated_runs(df, 3).collect()] == [(2, 1, 3, 1, 0)]
