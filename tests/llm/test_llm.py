@@ -407,6 +407,61 @@ def test_html(spark):
     assert html_extract.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_density_decides():
+    para = "<p>A paragraph of the article with quite some words in it, as <b>articles</b> have<br>them, and an end.</p>"
+    noise = "<div>" + "".join(f"<div><a href=/{i}>Other page number {i}</a> <span>more</span></div>" for i in range(30)) + "</div>"
+    page = f"<body><div>{noise}<div><div>{para * 4}<div>{para * 2}</div></div></div>{noise}</div></body>"
+    got = html_extract.extract(page)  # nothing declares itself here
+    assert got.count("A paragraph") == 6 and "Other page" not in got and "more" not in got
+    root = html_extract.parse(page)
+    assert html_extract.densest(html_extract._measure(root), root).items[0].tag == "p"
+
+
+def test_html_density_against_brute_force():
+    rng = random.Random(11)
+
+    def build(depth):
+        out = ""
+        for _ in range(rng.randrange(1, 5)):
+            tag = rng.choice(["div", "p", "a", "b", "section", "li"])
+            inner = " ".join("word" * rng.randrange(1, 3) for _ in range(rng.randrange(0, 25)))
+            out += f"<{tag}>{inner}{build(depth - 1) if depth and tag in ('div', 'section') else ''}</{tag}>" + rng.choice(["", "tail text "])
+        return out
+
+    def text(n, only=None):
+        if only and n.tag == only:
+            return text(n)
+        return "".join(x if isinstance(x, str) else text(x, only) for x in n.items if only is None or not isinstance(x, str))
+
+    def below(n):
+        return [y for x in n.items if not isinstance(x, str) for y in (x, *below(x))]
+
+    for _ in range(60):
+        root = html_extract.parse(f"<body>{build(3)}</body>")
+        order = html_extract._measure(root)
+        size = lambda s: len("".join(s.split()))
+        page_c, page_l = max(size(text(root)), 1), size(text(root, "a"))
+
+        def density(n):
+            c, t, lc, lt = size(text(n)), len(below(n)), size(text(n, "a")), sum(x.tag == "a" for x in below(n))
+            return html_extract._density(c, t, lc, lt, page_c, page_l)
+
+        block = lambda n: n.tag in html_extract.BLOCK or any(x.tag in html_extract.BLOCK for x in below(n))
+        want = [sum(density(x) for x in n.items if not isinstance(x, str) and block(x)) for n in order]
+        assert np.allclose(want, [n.total for n in order])
+
+
+def test_html_hard_pages():
+    import time
+
+    began = time.process_time()
+    for page, want in (("<article><header>" + "<div>" * 2000 + "deep</div>", "deep"), ("<a " * 20_000 + "x", None), ('<a href="' * 20_000 + ">", None), ("<textarea>" * 20_000, None), ("</b>" * 20_000 + "x", "x"),
+                       ("<div class=comment>" * 2000 + "text", None), ("before <math>x</math> after", "before x after"), ("<p>it<p a=it's>x's<p>y", "it\nx's\ny"), ("<object>kept</object>", "kept"), ("a < b and <3", "a < b and <3")):
+        got = html_extract.extract(page)
+        assert want is None or got == want, page[:40]
+    assert time.process_time() - began < 30
+
+
 def test_html_bare_text():
     line, quote = "Bare text of the article, as old pages have it, in one line. " * 3, "A paragraph of the quotation that has its hundred characters of words and goes on to the end of line."
     page = "<body>" + "<br>".join(f"{line}<b>{i}</b>" for i in range(10)) + "<blockquote>" + f"<p>{quote}</p>" * 5 + "</blockquote>" + "<br>".join(f"{line}{i}" for i in range(10, 20)) + "</body>"

@@ -1,7 +1,7 @@
 """Main text of web pages by composite text density.
 
 The page becomes a tree. Every node gets its characters per tag, adjusted by how much of its text and how
-many of its tags belong to links; a node's density sum is that of its children. The node with the largest
+many of its tags belong to links; a node's density sum is that of its children that are blocks (text in bold is its paragraph's). The node with the largest
 sum holds the article, and the least density on its path to the body is the threshold that its ancestors'
 other children and their stretches of bare text must reach to belong to the article too. Parts that say what they are (menus, forms, adverts,
 notices, comments and the like) leave the tree first, unless they hold most of the page's text outside links.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from trailspark.llm.common import text_slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe title svg math object canvas audio video".split())
+RAW = frozenset("script style noscript template textarea iframe title svg canvas audio video".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
@@ -46,7 +47,9 @@ NEVER_TAGS = frozenset("nav button select dialog menu".split())
 FRAME_NAMES, FRAME_TAGS = frozenset("header footer masthead topbar bottombar foot copyright".split()), frozenset({"header", "footer"})
 KEEP = frozenset("html body main article".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME_OF_TAG = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: Where a tag ends, or a quoted value begins, in which no sign ends a tag.
+_STOP = re.compile(r">|=\s*([\"'])")
 _ATTR = re.compile(r"([a-zA-Z_:@][\w:.-]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HEADING = re.compile(r"h[1-6]")
@@ -54,99 +57,135 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "parent", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "own", "holds", "inside", "block")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent):
         self.tag, self.attrs, self.parent, self.items = tag, attrs, parent, []
+        self.own, self.inside = _KINDS.get(tag, 0), parent is not None and (parent.inside or parent.tag in ("article", "main"))
+
+
+#: What a node is, or holds, that decides about the parts around it.
+ARTICLE, TITLE, HEADING, PARAGRAPH, SURE = 1, 2, 4, 8, 16
+_KINDS = {"article": ARTICLE, "main": ARTICLE, "h1": TITLE | HEADING, "h2": HEADING, "h3": HEADING, "p": PARAGRAPH}
+
+
+class Tokens:
+    """Reads a page once from left to right: what was not found behind a place is never looked for again."""
+
+    def __init__(self, page: str):
+        self.page, self.gone = page, set()
+
+    def find(self, sign: str, at: int) -> int:
+        k = -1 if sign in self.gone else self.page.find(sign, at)
+        if k < 0:
+            self.gone.add(sign)
+        return k
+
+    def end_of_tag(self, at: int) -> int:
+        """Where the ``>`` of a tag stands, quoted values passed over; a quote without an end is a sign like any other."""
+        while m := _STOP.search(self.page, at):
+            if not m[1]:
+                return m.start()
+            close = self.find(m[1], m.end())
+            at = close + 1 if close >= 0 else m.end()
+        return -1
+
+    def end_of_raw(self, tag: str, at: int) -> int:
+        """Behind the end tag of an element without markup, -1 without one."""
+        if f"</{tag}" in self.gone:
+            return -1
+        m = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, at)
+        if not m:
+            self.gone.add(f"</{tag}")
+        return m.end() if m else -1
+
+    def __iter__(self):
+        """Texts, and (closing, tag, attributes, place behind it) of tags. ``self.at`` may be moved on by the reader."""
+        page, self.at = self.page, 0
+        while self.at < len(page):
+            start = self.find("<", self.at)
+            if start < 0 or ">" in self.gone:
+                yield page[self.at :]
+                return
+            if start > self.at:
+                yield page[self.at : start]
+            if page.startswith("<!--", start):
+                end = self.find("-->", start + 4)
+                self.at = end + 3 if end >= 0 else len(page)
+                continue
+            if page[start + 1 : start + 2] in ("!", "?"):
+                end = self.find(">", start)
+                self.at = end + 1 if end >= 0 else len(page)
+                continue
+            m = _NAME_OF_TAG.match(page, start + 1)
+            end = self.end_of_tag(m.end()) if m else -1
+            if end < 0:
+                if m:
+                    self.find(">", m.end())
+                self.at = start + 1
+                yield "<"
+                continue
+            self.at = end + 1
+            yield m[1] == "/", m[2].lower(), page[m.end() : end]
 
 
 def parse(page: str) -> Node:
     """A tolerant tree: unclosed and stray tags, raw-text elements and missing ends are all accepted."""
     root = cur = Node("html", {}, None)
-    at, end = 0, len(page)
-    while at < end:
-        m = _TOKEN.search(page, at)
-        if not m:
-            cur.items.append(page[at:])
-            break
-        if m.start() > at:
-            cur.items.append(page[at : m.start()])
-        at, tag = m.end(), (m[2] or "").lower()
-        if not tag:
+    tokens, opened = Tokens(page), Counter()
+    for token in tokens:
+        if isinstance(token, str):
+            cur.items.append(token)
             continue
-        if m[1]:
-            n = cur
-            while n is not None and n.tag != tag:
-                n = n.parent
-            if n is not None and n.parent is not None:
-                cur = n.parent
+        closing, tag, rest = token
+        if closing:
+            if opened[tag]:
+                while cur.tag != tag:
+                    opened[cur.tag] -= 1
+                    cur = cur.parent
+                opened[tag] -= 1
+                cur = cur.parent
             continue
-        if tag in CLOSES_P:
+        upto = None
+        if tag in CLOSES_P and opened["p"]:
             n = cur
-            while n is not None and n.tag not in ("p", "button", "table", "td", "th", "div", "article", "section"):
+            while n.parent is not None and n.tag not in ("p", "button", "table", "td", "th", "div", "article", "section"):
                 n = n.parent
-            if n is not None and n.tag == "p":
-                cur = n.parent
-        if tag in SIBLINGS:
+            upto = n if n.tag == "p" else None
+        if upto is None and tag in SIBLINGS and any(opened[x] for x in SIBLINGS[tag][0]):
             ends, stop = SIBLINGS[tag]
-            n, hit = cur, None
-            while n is not None and n.tag not in stop:
-                hit = n if n.tag in ends else hit
+            n = cur
+            while n.parent is not None and n.tag not in stop:
+                upto = n if n.tag in ends else upto
                 n = n.parent
-            cur = hit.parent if hit is not None else cur
-        if tag == "body":
-            while cur.tag == "head":
+        if upto is None and tag == "body" and cur.tag == "head":
+            upto = cur
+        if upto is not None:
+            after = upto.parent
+            while cur is not after:
+                opened[cur.tag] -= 1
                 cur = cur.parent
         if tag == "html":
             continue
-        attrs = {a[1].lower(): unescape(a[2].strip("\"'")) if a[2] else "" for a in _ATTR.finditer(m[3])} if m[3].strip(" /") else {}
+        attrs = {a[1].lower(): unescape(a[2].strip("\"'")) if a[2] else "" for a in _ATTR.finditer(rest)} if rest.strip(" /") else {}
         node = Node(tag, attrs, cur)
         cur.items.append(node)
         if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else (end if tag in ("script", "style") else at)
-        elif tag not in VOID and not m[3].endswith("/"):
+            end = tokens.end_of_raw(tag, tokens.at)
+            tokens.at = end if end >= 0 else len(page) if tag in ("script", "style") else tokens.at
+        elif tag not in VOID and not rest.endswith("/"):
             cur = node
+            opened[tag] += 1
     return root
 
 
-def _inside(node: Node) -> bool:
-    n = node.parent
-    while n is not None:
-        if n.tag in ("article", "main"):
-            return True
-        n = n.parent
-    return False
-
-
-def _holds_article(node: Node, tags: tuple[str, ...] = ("article", "main", "h1")) -> bool:
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if n.tag in tags:
-            return True
-        stack += [x for x in n.items if isinstance(x, Node)]
-    return False
-
-
 def _names(node: Node) -> set[str]:
+    if not ("class" in node.attrs or "id" in node.attrs):
+        return set()
     words = [x.lower() for x in _NAME.findall(f"{node.attrs.get('class', '')} ; {node.attrs.get('id', '')}")]
     return {x for before, x in zip(["", *words], words) if before not in NOT_NAMES}
 
 
-def _sure(node: Node, names: set[str]) -> bool:
-    """Whether names that an article's section may have too mean another part here."""
-    if names & (DROP_NAMES - UNSURE_NAMES) or 2 * node.link_chars >= node.chars:
-        return True
-    stack = [x for x in node.items if isinstance(x, Node)]
-    while stack:
-        n = stack.pop()
-        if _names(n) & (DROP_NAMES - UNSURE_NAMES):
-            return True
-        stack += [x for x in n.items if isinstance(x, Node)]
-    return False
-
-
 def _declared(node: Node, root: Node, titled: bool, marked: bool, strict: bool) -> bool:
     """Whether the element says that it is no part of the article, and does not hold most of the page's text outside
     links (which it may where an article is ``marked`` elsewhere); with ``strict`` off only what never holds an article counts."""
@@ -154,41 +193,31 @@ def _declared(node: Node, root: Node, titled: bool, marked: bool, strict: bool)
         return True
     if node.tag in KEEP:
         return False
-    a = node.attrs
+    a, whole = node.attrs, node.own | node.holds
     if "hidden" in a or a.get("aria-hidden") == "true" or _HIDDEN.search(a.get("style", "")):
         return True
+    holds_article = bool(whole & (ARTICLE | TITLE))
     if node.tag in NEVER_TAGS:
-        return not _holds_article(node)
+        return not holds_article
     names = _names(node)
     most = 2 * (node.chars - node.link_chars) > root.chars - root.link_chars
-    if not strict or most and (not marked or _inside(node)) and not (titled and (node.tag in FRAME_TAGS or names & (LONG_NAMES | FRAME_NAMES))):
+    if not strict or most and (not marked or node.inside) and not (titled and (node.tag in FRAME_TAGS or names & (LONG_NAMES | FRAME_NAMES))):
         return False
     if node.tag in DROP_TAGS and node.tag != "label":
-        return not _holds_article(node)
-    if a.get("role", "").lower() in DROP_ROLES or names & DROP_NAMES and _sure(node, names):
-        return not _holds_article(node)
-    if (node.tag in FRAME_TAGS or names & FRAME_NAMES) and not (_inside(node) and node.tag != "footer" and _titles(node)):
-        return not (_holds_article(node) and not _frame_only(node))
+        return not holds_article
+    # Names that an article's section may have too are believed of parts that are mostly links or hold surely named ones.
+    sure = names & (DROP_NAMES - UNSURE_NAMES) or 2 * node.link_chars >= node.chars or node.holds & SURE
+    if a.get("role", "").lower() in DROP_ROLES or names & DROP_NAMES and sure:
+        return not holds_article
+    if (node.tag in FRAME_TAGS or names & FRAME_NAMES) and not (node.inside and node.tag != "footer" and node.holds & HEADING):
+        # A page's head may hold its title, but no article and no paragraph.
+        return not holds_article or not whole & (ARTICLE | PARAGRAPH)
     return False
 
 
-def _titles(node: Node) -> bool:
-    return any(isinstance(x, Node) and (x.tag in ("h1", "h2", "h3") or _titles(x)) for x in node.items)
-
-
-def _frame_only(node: Node) -> bool:
-    """A page's head that holds a title but no article."""
-    stack = [node]
-    while stack:
-        n = stack.pop()
-        if n.tag in ("article", "main", "p"):
-            return False
-        stack += [x for x in n.items if isinstance(x, Node)]
-    return True
-
-
 def _prune(root: Node, strict: bool = True) -> None:
-    titled, marked, stack = _holds_article(root), _holds_article(root, ("article", "main")), [root]
+    whole, stack = root.own | root.holds, [root]
+    titled, marked = bool(whole & (ARTICLE | TITLE)), bool(whole & ARTICLE)
     while stack:
         n = stack.pop()
         n.items = [x for x in n.items if not (isinstance(x, Node) and _declared(x, root, titled, marked, strict))]
@@ -213,15 +242,19 @@ def _measure(root: Node) -> list[Node]:
         stack += [x for x in reversed(n.items) if isinstance(x, Node)]
     for n in reversed(order):
         kids = [x for x in n.items if isinstance(x, Node)]
+        n.holds = 0
+        for k in kids:
+            n.holds |= k.own | k.holds | (SURE if _names(k) & (DROP_NAMES - UNSURE_NAMES) else 0)
         n.chars = sum(len("".join(x.split())) for x in n.items if isinstance(x, str)) + sum(k.chars for k in kids)
         n.tags = sum(k.tags + 1 for k in kids)
         n.link_chars = n.chars if n.tag == "a" else sum(k.link_chars for k in kids)
+        n.block = n.tag in BLOCK or any(k.block for k in kids)
         n.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
     page_c, page_l = max(root.chars, 1), root.link_chars
     for n in order:
         n.density = _density(n.chars, n.tags, n.link_chars, n.link_tags, page_c, page_l)
     for n in order:
-        n.total = sum(x.density for x in n.items if isinstance(x, Node))
+        n.total = sum(x.density for x in n.items if isinstance(x, Node) and x.block)
     return order
 
 
@@ -267,6 +300,12 @@ def _kept(below: Node, above: Node, threshold: float, page_c: int, page_l: int)
     return out
 
 
+def densest(order: list[Node], root: Node) -> Node:
+    """The node of the largest density sum, the first of several; the whole page where no node holds blocks of text."""
+    best = max(order, key=lambda n: n.total)
+    return best if best.total else root
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, joined by one newline; empty for null, empty and text-less pages."""
     if not page:
@@ -280,21 +319,14 @@ def extract(page: str | None) -> str:
             break
     if not root.chars:
         return ""
-    best = max(order, key=lambda n: n.total)
-    if not best.total:
-        best = root
-    path = [best]
+    path = [densest(order, root)]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(n.density for n in path if n.chars)
-    # An article or main element around the best node is the author's own word for the subtree.
-    top = next((i for i, n in enumerate(path) if n.tag in ("article", "main")), None)
-    if top is None:
-        for below, above in zip(path, path[1:]):
-            above.items = _kept(below, above, threshold, max(root.chars, 1), root.link_chars)
-        top = len(path) - 1
+    for below, above in zip(path, path[1:]):
+        above.items = _kept(below, above, threshold, max(root.chars, 1), root.link_chars)
     pieces: list[list[str]] = [[]]
-    _blocks(path[top], pieces)
+    _blocks(root, pieces)
     texts = (" ".join(unescape("".join(p)).split()) for p in pieces)
     return "\n".join(t for t in texts if t)
 
