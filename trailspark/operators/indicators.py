@@ -9,7 +9,7 @@ from trailspark.functions import scalars as S
 from trailspark.operators import extract, network
 
 STIX = {"domain": "domain-name:value", "ipv4": "ipv4-addr:value", "url": "url:value", "md5": "file:hashes.MD5", "sha1": "file:hashes.'SHA-1'", "sha256": "file:hashes.'SHA-256'"}
-SOURCE_EVENTS = 20
+SOURCE_EVENTS, SALTS = 20, 64
 
 
 def sightings(events: DataFrame) -> DataFrame:
@@ -37,10 +37,10 @@ def rollup(found: DataFrame) -> DataFrame:
 
 
 def extract_iocs(events: DataFrame) -> DataFrame:
-    """The rollup over enriched, numbered events. The event numbers kept per indicator are cut to the first 20
-    before they are gathered, so a frequent indicator gathers no list."""
+    """The rollup over enriched, numbered events. Each of ``SALTS`` shares of an indicator's sightings keeps its first 20 event
+    numbers, so a frequent indicator neither sorts in one task nor gathers its list."""
     found = sightings(events)
-    w = Window.partitionBy("kind", F.lower("value")).orderBy("event_number", "pos")
+    w = Window.partitionBy("kind", F.lower("value"), F.pmod("event_number", F.lit(SALTS))).orderBy("event_number", "pos")
     return rollup(found.withColumn("_n", F.when(F.row_number().over(w) <= SOURCE_EVENTS, F.col("event_number"))))
 
 
