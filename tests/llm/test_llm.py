@@ -260,6 +260,20 @@ def test_chat_many_turns(spark):
     assert [t["text"] for t in r["turns"]] == [f"t{t}" for t in range(300)] and r["loss_text"] == "".join(f"t{t}" for t in range(1, 300, 2))
 
 
+def test_chat_hard_rows(spark):
+    rng = random.Random(9)
+    data = [(c, t, r, x, "clash", 1) for c in (1, None) for t, r, x in [(None, "user", "first"), (None, None, None), (0, "assistant", None), (0, "assistant", "tie"), (0, "assistant", "tie"), (200, "user", "<|end|>" * 3), (70, "assistant", "late </s>"), (-5, "system", "")]]
+    data += [(2, 7, "assistant", "x" * 60_000, "", 0)] + [(3, 5, "assistant", f"{i} same turn", "", 0) for i in range(500)]
+    rng.shuffle(data)
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string, s string, at int")
+    got = {r["conv_id"]: r for r in chat_format.read_back(chat_format.format_turns(df)).collect()}
+    for c in (1, None, 2, 3):
+        want = sorted(((t is not None, t or 0, r or "", x or "") for i, t, r, x, *_ in data if i == c))
+        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == [(r, x) for *_, r, x in want] and got[c]["n_turns"] == len(want)
+        assert got[c]["loss_text"] == "".join(x for *_, r, x in want if r == "assistant")
+    assert chat_format.format_turns(df.limit(0)).count() == 0
+
+
 def test_tokens(spark, rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -586,6 +600,21 @@ def test_toxicity(spark):
     assert all(abs(r["score"] - 1 / (1 + np.exp(5.0))) < 1e-9 for r in toxicity.toxicity(table(spark, docs), lab.limit(0)).collect())
 
 
+def test_pipeline_hard_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _row int, _k int, id int, size int"
+    hard = [(None, None, None, None, None, 1, 2, 3, 4), (None, "only words here", None, None, None, 1, 2, 3, 4), (1, None, "en", None, 0, 1, 2, 3, 4), (2, "", "en", "a", 0, 1, 2, 3, 4)]
+    hard += [(3, "same words in two rows", "en", "a", 1, 1, 2, 3, 4)] * 2 + [(9, "w " * 40_000, None, "a", 1, 1, 2, 3, 4)]
+    for name, docs in (("hard", hard), ("empty", [])):
+        sf = str(tmp_path / name)
+        spark.createDataFrame(docs, schema).write.parquet(f"{sf}/documents.parquet")
+        spark.createDataFrame([(None, None, 1), (1, 0, None)] if docs else [], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+        spark.createDataFrame([(None, "only words here"), (4, None)] if docs else [], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, sf).collect()
+        assert {r["doc_id"] for r in got} <= {d[0] for d in docs} and len({(r["shard"], r["slot"]) for r in got}) == len(got)
+
+
 def test_pipeline(spark, tmp_path, rows):
     import corpus_pipeline
 

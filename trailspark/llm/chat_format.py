@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -103,20 +103,19 @@ def format_turns(turns: DataFrame, conv_col: str = "conv_id") -> DataFrame:
         F.col(conv_col).alias("_conv"), F.col("turn").cast("long").alias("_turn"), F.col("role").alias("_role"), F.col("text").alias("_text"),
         escape(F.coalesce("role", F.lit(""))).alias("_r"), escape(F.coalesce("text", F.lit(""))).alias("_t"))
     head = F.concat(F.lit(TURN), "_r", F.lit(TEXT))
-    w = w.select("_conv", F.struct(
-        F.col("_turn").alias("k0"), F.coalesce("_role", F.lit("")).alias("k1"), F.coalesce("_text", F.lit("")).alias("k2"),
-        F.concat(head, "_t", F.lit(END)).alias("s"), F.char_length(head).alias("h"), F.char_length("_t").alias("n"),
-        (F.coalesce("_role", F.lit("")) == "assistant").alias("loss")).alias("_m"))
-    w = w.withColumn("_piece", F.floor(F.col("_m.k0") / PIECE))
-    pieces = w.groupBy("_conv", "_piece").agg(F.array_sort(F.collect_list("_m")).alias("_ms"))
-    # Without keys: formatted pieces and lengths only.
-    pieces = pieces.select("_conv", F.struct("_piece", F.expr("array_join(transform(_ms, m -> m.s), '')").alias("s"),
-                           F.expr("transform(_ms, m -> named_struct('h', m.h, 'n', m.n, 'loss', m.loss))").alias("ls")).alias("_p"))
-    whole = pieces.groupBy("_conv").agg(F.array_sort(F.collect_list("_p")).alias("_ps"))
-    out = whole.select("_conv", F.expr("array_join(transform(_ps, p -> p.s), '')").alias("formatted"), F.expr("flatten(transform(_ps, p -> p.ls))").alias("_ls"))
-    # Starts are running totals; each step appends one number.
-    ends = f"aggregate(_ls, named_struct('at', 0, 'out', cast(array() as array<struct<start: int, end: int>>)), (a, l) -> named_struct('at', a.at + l.h + l.n + {len(END)}, 'out', if(l.loss, array_append(a.out, named_struct('start', a.at + l.h, 'end', a.at + l.h + l.n)), a.out))).out"
-    return out.select(F.col("_conv").alias(conv_col), "formatted", F.expr(ends).alias("loss_spans"), F.size("_ls").cast("long").alias("n_turns"))
+    role, text = F.coalesce("_role", F.lit("")), F.coalesce("_text", F.lit(""))
+    w = w.select("_conv", F.floor(F.col("_turn") / PIECE).alias("_piece"), "_turn", role.alias("_k1"), text.alias("_k2"), F.concat(head, "_t", F.lit(END)).alias("s"),
+                 F.char_length(head).alias("h"), F.char_length("_t").alias("n"), (role == "assistant").alias("loss"))
+    # Starts are running totals, of turns in a piece and of pieces in a conversation; no array is built step by step.
+    before = lambda by, order: F.coalesce(F.sum(F.char_length("s")).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    w = w.withColumn("at", before(["_conv", "_piece"], ["_turn", "_k1", "_k2"]))
+    pieces = w.groupBy("_conv", "_piece").agg(F.array_sort(F.collect_list(F.struct("at", "s", "h", "n", "loss"))).alias("_ms"))
+    pieces = pieces.select("_conv", "_piece", F.expr("array_join(transform(_ms, m -> m.s), '')").alias("s"), F.size("_ms").alias("k"),
+                           F.expr("transform(filter(_ms, m -> m.loss), m -> named_struct('start', m.at + m.h, 'end', m.at + m.h + m.n))").alias("spans"))
+    whole = pieces.withColumn("at", before(["_conv"], ["_piece"])).groupBy("_conv").agg(F.array_sort(F.collect_list(F.struct("at", "s", "k", "spans"))).alias("_ps"))
+    spans = "flatten(transform(_ps, p -> transform(p.spans, x -> named_struct('start', p.at + x.start, 'end', p.at + x.end))))"
+    return whole.select(F.col("_conv").alias(conv_col), F.expr("array_join(transform(_ps, p -> p.s), '')").alias("formatted"), F.expr(spans).alias("loss_spans"),
+                        F.expr("aggregate(_ps, 0L, (a, p) -> a + p.k)").alias("n_turns"))
 
 
 def format_chat(records: DataFrame, json_col: str = "record", conv_col: str = "conv_id", layouts: tuple[Layout, ...] = LAYOUTS) -> DataFrame:

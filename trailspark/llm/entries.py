@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailspark.llm import chat_format, decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, sharding, token_output, toxicity
-from trailspark.llm.common import new_path
+from trailspark.llm.common import new_path, release  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
