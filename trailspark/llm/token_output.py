@@ -33,9 +33,9 @@ from trailspark.llm.common import delete_path, new_path, text_slices, worker_cac
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 400, 64 << 10, 64 << 10
 #: Payload bytes after which a block is closed, and distinct words an encoder remembers.
-BLOCK_BYTES, CACHE_WORDS = 4 << 20, 1_500_000
+BLOCK_BYTES, CACHE_WORDS = 4 << 20, 400_000
 #: Bytes of text whose words are looked up together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 LEVEL = 3
 
 
