@@ -127,6 +127,48 @@ def test_replay_copies(spark):
     assert talk(spark, rows) == ["yes", "Here is a long enough answer.", "Here is a long enough answer. n"]
 
 
+def test_replay_in_pieces(spark):
+    """Pieces walked together accept what one walk over all messages accepts."""
+    rng = random.Random(5)
+    long = "Here is one long enough answer for all"
+    says = ["yes", "no", "go on", "stop it", *[long + t for t in ("", " n", " no", " not")], *[f"line {i} is fine" for i in range(12)]]
+    at = sorted(rng.randrange(0, 400) for _ in range(150))
+    rows = [(f"2026-01-02T03:{4 + t // 60:02d}:{t % 60:02d}Z", rng.choice(["user", "assistant"]), rng.choice(says)) for t in at] + [("", "user", rng.choice(says)) for _ in range(40)]
+    cols = "event_number int, timestamp_utc string, session_key string, agent string, event_type string, source_type string, conversation_eligible boolean, role string, text string, summary string, action string, source_file string"
+    data = [(i, t, "s", "codex", "USER PROMPT" if r == "user" else "ASSISTANT RESPONSE", "codex_session_jsonl", True, r, m, "", "", "f.jsonl") for i, (t, r, m) in enumerate(rows, 1)]
+    want, seen = [], set()
+    for i, (t, r, m) in enumerate(rows, 1):
+        us = int(t[14:16]) * 60 + int(t[17:19]) if t else None
+        echo = False
+        for _, s, p, q in [w for w in want[-8:][::-1] if w[2] == r]:
+            if us is not None and s is not None and us - s > 15:
+                break
+            a, b = sorted((m, q), key=len)
+            echo |= a == b or len(a) >= 20 and b.startswith(a) and len(b[len(a) :].strip()) <= 3
+        if (r, m) not in seen and not echo:
+            seen.add((r, m))
+            want.append((i, us, r, m))
+    for size in (50, 1000):
+        got = replay.build_replay(spark.createDataFrame(data, cols), size).collect()
+        assert [x["event_number"] for x in got] == [w[0] for w in want], size
+    assert replay.build_replay(spark.createDataFrame([], cols)).count() == 0
+
+
+def test_stretches(spark, monkeypatch):
+    """Stretches over many chunks of slots are those of the gaps between neighbours."""
+    monkeypatch.setattr(timeline, "SLOTS", 4)
+    rng = random.Random(3)
+    rows = [(k, rng.randrange(-400, 400)) for k in ("a", "b", "c") for _ in range({"a": 8, "b": 60, "c": 600}[k])]
+    got = timeline.stretches(spark.createDataFrame(rows, "k string, us long"), "k", "us", 5).collect()
+    assert sorted((r["k"], r["us"]) for r in got) == sorted(rows)
+    slots = {(k, us // 5) for k, us in rows}
+    for r in got:
+        s = r["us"] // 5
+        while (r["k"], s - 1) in slots:
+            s -= 1
+        assert r["_stretch"] == s
+
+
 def test_stream(spark, tmp_path):
     from trailspark.operators.events import conform
     from trailspark.streaming.dedupe import deduplicate_stream

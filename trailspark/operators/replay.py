@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections import deque
-from itertools import takewhile
+from itertools import groupby, takewhile
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trailspark import tables
 from trailspark.functions import repair
 from trailspark.functions import scalars as S
+from trailspark.operators import timeline
 
 SOURCES, ROLES = ("codex_session_jsonl", "gemini_antigravity_jsonl"), ("user", "human", "assistant", "ai")
 CONTEXTS = ("<environment_context>", "<recommended_plugins>", "<permissions", "<workspace")
@@ -20,6 +23,21 @@ RUNTIME_MARKS = (
     "submission_id=", "mcp_server", "initialize:serve_inner", "response(jsonrpc", "toolresult", "toolcall", "function_call", "functioncall")
 STRUCTURE = ("{", "}", "[", "]", "::", "=", "(", ")", "jsonrpc", "result:")
 LOOK_BACK, WINDOW_US = 8, 15_000_000
+#: Messages that one task walks in order, and what its rows are: fingerprints accepted before, the last messages accepted before, its own.
+PIECE_ROWS = 50_000
+TAKEN, TAIL, SAID = range(3)
+
+
+class Said(NamedTuple):
+    piece: int
+    kind: int
+    at: int
+    print: str
+    label: str | None
+    folded: str | None
+    even: str | None
+    us: int | None
+
 
 
 def count_of(c: Column, word: str) -> Column:
@@ -63,34 +81,68 @@ def first_of_fingerprint(df: DataFrame, keys: list[str], order: str) -> DataFram
     return df.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_f")).select(*keys, *[F.col(f"_f.{c}").alias(c) for c in cols])
 
 
-def build_replay(events: DataFrame) -> DataFrame:
+def build_replay(events: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """timestamp_utc, event_number, session_key, agent, role, event_type, message in replay order.
 
-    The look-back depends on every row accepted before, over all sessions, so it runs as one fold over the
-    eligible messages in order: what people and assistants said in one case, not the case's events.
+    A message goes if its fingerprint was accepted before or one of the last accepted ones echoes it, so what
+    is accepted depends on all that came before. The ordered messages are cut into pieces that are walked at the same time,
+    each given the fingerprints accepted in earlier pieces and the last messages accepted before it, as the round before
+    knew them. After n rounds the first n pieces are settled; rounds end when nothing changes, mostly after two or three.
     """
     cols = ["timestamp_utc", "event_number", "session_key", "agent", "label", "event_type", "message", "folded", "even", "us"]
-    rows = candidates(events).withColumn("prio", source_priority()).select(*cols, "prio")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "prio", "event_number"], na_position="last", kind="stable")
-        # Rows of one fingerprint after the first accepted one are out wherever they stand; the last accepted rows decide on the rest.
-        accepted, recent, out = set(), deque(maxlen=LOOK_BACK), []
-        for at, row in enumerate(pdf[["label", "folded", "even", "us"]].itertuples(index=False)):
-            if (row.label, row.folded) not in accepted and not echoed(row, recent):
-                accepted.add((row.label, row.folded))
+    order = [F.col("us").asc_nulls_last(), F.col("prio").asc(), F.col("event_number").asc()]
+    rows = timeline.global_number(candidates(events).withColumn("prio", source_priority()).select(*cols, "prio"), order, "_at")
+    piece = F.expr(f"(_at - 1) div {piece_rows}L")
+    said = rows.select(piece.alias("piece"), F.lit(SAID).alias("kind"), F.col("_at").alias("at"), F.sha2(F.concat("label", F.lit("|"), "folded"), 256).alias("print"), "label", "folded", "even", "us")
+    feed, state, pieces = said, None, None
+    while True:
+        before = got if pieces is not None else None
+        got = tables.materialise(feed.repartition("piece").sortWithinPartitions("piece", "kind", "at").mapInArrow(walk, said.schema), "replay")
+        if before is not None:
+            tables.drop_table(before)
+        last_state, state = state, got.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("piece", "kind", "at").cast("decimal(38,0)")).alias("s"), F.max("piece").alias("last")).first()
+        if state == last_state or not state["last"]:
+            break
+        pieces = state["last"] if pieces is None else pieces
+        firsts = got.where(F.col("kind") == SAID).groupBy("print").agg(F.min("piece").alias("first"))
+        taken = said.select("piece", "print").distinct().join(firsts, "print").where("first < piece").select("piece", F.lit(TAKEN).alias("kind"), "print")
+        tails = got.where(F.col("kind") == TAIL).withColumn("piece", F.col("piece") + 1).where(F.col("piece") <= pieces)
+        feed = said.unionByName(taken, allowMissingColumns=True).unionByName(tails)
+    accepted = got.where(F.col("kind") == SAID).select(F.col("at").alias("_at"))
+    return rows.join(accepted, "_at", "left_semi").orderBy("_at").select(
+        "timestamp_utc", "event_number", "session_key", S.first_text(S.text("agent"), F.lit("unknown")).alias("agent"), F.col("label").alias("role"), "event_type", "message")
+
+
+def walk(batches):
+    """Rows by piece, kind and place: of each piece the accepted messages (without texts) and its last accepted ones."""
+
+    def rows():
+        for batch in batches:
+            yield from map(Said._make, zip(*(batch.column(c).to_pylist() for c in Said._fields)))
+
+    def packed(out: list[Said]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], list(Said._fields))
+
+    for _, piece in groupby(rows(), key=lambda r: r.piece):
+        known, recent, out = set(), deque(maxlen=LOOK_BACK), []
+        for row in piece:
+            if row.kind == TAKEN:
+                known.add(row.print)
+            elif row.kind == TAIL:
                 recent.appendleft(row)
-                out.append(at)
-        return pdf.iloc[out][cols]
-
-    got = rows.withColumn("_case", F.lit("")).groupBy("_case").applyInPandas(fold, rows.select(*cols).schema)
-    return got.select("timestamp_utc", "event_number", "session_key", S.first_text(S.text("agent"), F.lit("unknown")).alias("agent"), F.col("label").alias("role"), "event_type", "message")
+            elif row.print not in known and not echoed(row, recent):
+                known.add(row.print)
+                recent.appendleft(row)
+                out.append(row._replace(label=None, folded=None, even=None, us=None))
+        yield packed(out + [r._replace(piece=row.piece, kind=TAIL) for r in recent])
 
 
-def echoed(row, recent) -> bool:
+def echoed(row: Said, recent) -> bool:
     """Whether a message repeats one of the same role among the ``recent`` ones, the latest first, up to the first that is
     too far off in time; without a time nothing is too far off."""
-    near = takewhile(lambda r: not abs(row.us - r.us) > WINDOW_US, (r for r in recent if r.label == row.label))
+    far = lambda r: None not in (row.us, r.us) and abs(row.us - r.us) > WINDOW_US
+    near = takewhile(lambda r: not far(r), (r for r in recent if r.label == row.label))
     return any(row.folded == r.folded or (row.folded and r.folded and (row.even == r.even or repair.begins(row.folded, r.folded))) for r in near)
 
 
