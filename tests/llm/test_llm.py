@@ -600,6 +600,39 @@ def test_toxicity(spark):
     assert all(abs(r["score"] - 1 / (1 + np.exp(5.0))) < 1e-9 for r in toxicity.toxicity(table(spark, docs), lab.limit(0)).collect())
 
 
+def held_by_workers(spark, names):
+    """The most objects of each class that any Python worker still holds between jobs."""
+
+    def run(batches):
+        import gc
+
+        import pyarrow as pa
+
+        for batch in batches:
+            gc.collect()
+            kinds = [type(o).__name__ for o in gc.get_objects()]
+            yield pa.RecordBatch.from_arrays([pa.array([kinds.count(n)] * len(batch), pa.int64()) for n in names], list(names))
+
+    return spark.range(0, 64, 1, 64).mapInArrow(run, ", ".join(f"{n} long" for n in names)).agg(*[F.max(n) for n in names]).first()
+
+
+def test_workers_hold_one_operators_state(spark):
+    rng = random.Random(3)
+    rows = [(i, words(rng, 30) + (" you stupid idiot" if i % 2 else ""), "a") for i in range(128)]
+    docs, labels = table(spark, rows).repartition(32), spark.createDataFrame([(i, i % 2) for i, _, _ in rows], "doc_id long, toxic int")
+    bench, names = spark.createDataFrame([(1, rows[4][1])], "item_id long, text string"), ("Reader", "Vocabulary")
+    toxicity.toxicity(docs, labels).collect()
+    assert tuple(held_by_workers(spark, names)) == (1, 0)  # kept for the next tasks
+    minhash.near_duplicates(docs).collect()
+    assert tuple(held_by_workers(spark, names)) == (0, 0)
+    toxicity.toxicity(docs, labels).collect()
+    decontaminate.contaminated(docs, bench).collect()
+    assert tuple(held_by_workers(spark, names)) == (0, 1)
+    mixing.mix(docs).collect()
+    toxicity.toxicity(docs, labels).collect()
+    assert tuple(held_by_workers(spark, names)) == (1, 0)
+
+
 def test_pipeline_hard_tables(spark, tmp_path):
     import corpus_pipeline
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 
 import numpy as np
@@ -27,14 +28,42 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def worker_cache() -> dict:
-    """Lives as long as the Python worker; functions sent by value lose their modules' globals with each task."""
-    return sys.__dict__.setdefault("_trailspark_cache", {})
+def worker_state(key, make):
+    """What ``make`` gives, kept for later tasks of the Python worker; functions sent by value lose their modules' globals with each task.
+
+    A worker serves one operator after another, so a state of another key is dropped: at most one is held.
+    """
+    cache = sys.__dict__.get("_trailspark_cache", {})
+    if key not in cache:
+        del cache
+        drop_worker_state()
+        cache = sys.__dict__["_trailspark_cache"] = {key: make()}
+    return cache[key]
+
+
+def drop_worker_state() -> None:
+    """For functions without a state: what an earlier operator left in the Python worker, which would add to their memory, and
+    free memory that its allocators hold go back to the system."""
+    sys.__dict__.pop("_trailspark_cache", None)
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def text_in(batch: pa.RecordBatch, column) -> pa.Array:
+    """A column of a batch, or with (column, position) a field of its structures."""
+    return batch.column(column) if isinstance(column, str) else pc.struct_field(batch.column(column[0]), [column[1]])
+
+
+def place_of(docs: DataFrame, column: str) -> int:
+    """The position of a column, whose name Spark reads without case."""
+    return [c.lower() for c in docs.columns].index(column.lower())
 
 
-def text_slices(batch: pa.RecordBatch, column: str = "text", text_bytes: int = 4 << 20):
-    """Slices of about ``text_bytes`` of a column of texts, so memory does not follow a batch's longest texts."""
-    size = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
+def text_slices(batch: pa.RecordBatch, column="text", text_bytes: int = 4 << 20):
+    """Slices of about ``text_bytes`` of a column of texts (see ``text_in``), so memory does not follow a batch's longest texts."""
+    size = np.asarray(pc.fill_null(pc.binary_length(text_in(batch, column)), 0))
     cut = np.flatnonzero(np.diff(np.cumsum(size) // text_bytes)) + 1
     edges = [0, *cut.tolist(), len(size)]
     for a, b in zip(edges, edges[1:]):

@@ -24,12 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import text_slices, worker_cache
+from trailspark.llm.common import place_of, text_in, text_slices, worker_state
 from trailspark.llm.shingles import windows
 
 WINDOW, COVERAGE = 8, 0.5
 #: Benchmark text that a task holds at once, and tokens that a worker remembers.
-BLOCK_BYTES, CACHE_TOKENS = 32 << 20, 1_000_000
+BLOCK_BYTES, CACHE_TOKENS = 32 << 20, 400_000
 
 #: Number words and units in the languages of the corpus; digits, signs and the shape of names need no list.
 NUMBER_WORDS = frozenset(
@@ -220,10 +220,7 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, window: int, item_col: str, i
         stamp = f"{b}:{window}:{hash(tuple(rows))}"
 
         def find(texts, coverage, shared=shared, stamp=stamp):
-            cache = worker_cache()
-            if cache.get("decontaminate_stamp") != stamp:
-                cache |= {"decontaminate_stamp": stamp, "decontaminate": Index(*shared.value), "vocabulary": Vocabulary()}
-            index, vocab = cache["decontaminate"], cache["vocabulary"]
+            index, vocab = worker_state(("decontaminate", stamp), lambda: (Index(*shared.value), Vocabulary()))
             for text in texts:
                 tokens, *forms = vocab.read(text)
                 hits = index.hits(forms)
@@ -260,14 +257,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, co
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns, each row by its own text: ids do not matter, and no row moves."""
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).alias("text"))
+    rows, text = docs.select(F.struct(*docs.columns).alias("_row")), ("_row", place_of(docs, text_col))
     schema = rows.schema
     for find in _blocks(docs, benchmark, window, item_col, item_text, block_bytes):
 
         def run(batches, find=find):
             for big in batches:
-                for batch in text_slices(big):
-                    yield batch.filter(pa.array([not js for js in find(batch.column("text").to_pylist(), coverage)], pa.bool_()))
+                for batch in text_slices(big, text):
+                    yield batch.filter(pa.array([not js for js in find(text_in(batch, text).to_pylist(), coverage)], pa.bool_()))
 
         rows = rows.mapInArrow(run, schema)
     return rows.select("_row.*")

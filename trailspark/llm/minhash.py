@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trailspark.llm import shingles as S
-from trailspark.llm.common import key_filter, materialise, spread_join, text_slices, with_membership, without_ids
+from trailspark.llm.common import drop_worker_state, key_filter, materialise, spread_join, text_slices, with_membership, without_ids
 from trailspark.llm.components import components
 
 ROWS_PER_BAND, BATCH = 5, 20
@@ -60,6 +60,7 @@ def _agree(a: np.ndarray, b: np.ndarray, bounds: list[tuple[int, int]]) -> np.nd
 
 def _signed(docs: DataFrame, perms: int, words: int) -> DataFrame:
     def run(batches):
+        drop_worker_state()
         a, b = S.permutations(perms)
         for big in batches:
             for batch in text_slices(big):
@@ -76,6 +77,7 @@ def _sets(docs: DataFrame, words: int) -> DataFrame:
     """(id, cls, s): the full shingle sets of texts."""
 
     def run(batches):
+        drop_worker_state()
         for big in batches:
             for batch in text_slices(big):
                 sets = [S.shingle_set(t, words) for t in batch.column("text").to_pylist()]
@@ -157,13 +159,15 @@ def _compare(rows: DataFrame, percent: int, bounds) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in links], pa.int64()), pa.array([ids[j] for _, j in links], pa.int64())], ["u", "v"])
 
     def run(batches):
+        drop_worker_state()
         held: list = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "id", "sig", "s"))):
-                if held and held[-1][0] != row[0]:
-                    yield settle(held)
-                    held = []
-                held.append(row)
+        for big in batches:
+            for batch in text_slices(big, "s"):
+                for row in zip(*(batch.column(c).to_pylist() for c in ("task", "side", "id", "sig", "s"))):
+                    if held and held[-1][0] != row[0]:
+                        yield settle(held)
+                        held = []
+                    held.append(row)
         if held:
             yield settle(held)
 

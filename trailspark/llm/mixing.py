@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import materialise, word_count
+from trailspark.llm.common import drop_worker_state, materialise, word_count
 
 #: Rows of a source that one task rounds at level 0, and blocks that meet on each further level.
 BLOCK_ROWS, FAN_IN = 2_000, 16
@@ -77,6 +77,7 @@ def pivot(size: np.ndarray, p: np.ndarray, draws: Iterable[float]) -> np.ndarray
 
 def _level(seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        drop_worker_state()
         pdf = pdf.sort_values(["_size", "_h", "_id"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         rng = np.random.Generator(np.random.PCG64([seed, *(pdf["_h"].to_numpy(np.int64)[[0, -1]].astype(np.uint64).tolist()), len(pdf)]))
         p = pivot(pdf["_size"].to_numpy(np.float64), pdf["_p"].to_numpy(np.float64), rng.random(len(pdf)))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trailspark.llm.common import delete_path, new_path, text_slices, worker_cache
+from trailspark.llm.common import delete_path, new_path, text_slices, worker_state
 
 SAMPLE_DOCS, SAMPLE_BYTES, DICT_BYTES = 400, 64 << 10, 64 << 10
 #: Payload bytes after which a block is closed, and distinct words an encoder remembers.
@@ -176,10 +176,7 @@ class Encoder:
 
 
 def _encoder(*key) -> Encoder:
-    cache = worker_cache()
-    if cache.get("encoder_key") != key:
-        cache |= {"encoder_key": key, "encoder": Encoder(*key)}
-    return cache["encoder"]
+    return worker_state(("encoder", key), lambda: Encoder(*key))
 
 
 def _train(samples: list[bytes]) -> bytes:
