@@ -181,3 +181,17 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(120)
     q.stop()
     assert sorted(r["timestamp_utc"] for r in spark.table("kept").collect()) == ["", "2026-01-02T03:04:00Z", "2026-01-02T03:04:04Z"]
+
+
+def regex_count(column):
+    """How many pattern expressions a column evaluates for a row, as its plan has them."""
+    return str(column).lower().count("regexp_") + str(column).count("RLIKE")
+
+
+@pytest.mark.parametrize("raw,iso", [
+    (" 2024-02-29T03:04:05,1234567Z ", "2024-02-29T03:04:05.123456+00:00"), ("20240102T0304+0230", "2024-01-02T00:34:00+00:00"), ("2024-01-02 03-05", "2024-01-02T08:00:00+00:00"), ("2024-01-02T03:04:05.100", "2024-01-02T03:04:05.100000+00:00"),
+    ("20240102", "2024-01-02T00:00:00+00:00"), ("20240102030405", "20240102030405"), ("#20240102|Z", "#20240102|Z"), ("2023-02-29", "2023-02-29"), ("2024-01-02Z", "2024-01-02Z"), (" x ", "x"), (None, "")])
+def test_iso_in_one_match(spark, raw, iso):
+    df = spark.createDataFrame([(raw,)], "v string")
+    assert df.select(S.iso_utc(F.col("v")).alias("x")).first()["x"] == iso
+    assert regex_count(S.iso_utc(F.col("v"))) == 1  # one match for a time, however many parts it has
