@@ -195,3 +195,10 @@ def test_iso_in_one_match(spark, raw, iso):
     df = spark.createDataFrame([(raw,)], "v string")
     assert df.select(S.iso_utc(F.col("v")).alias("x")).first()["x"] == iso
     assert regex_count(S.iso_utc(F.col("v"))) == 1  # one match for a time, however many parts it has
+
+
+@pytest.mark.parametrize("raw,day,shown", [("2024-01-02T23:30:00-01:00", "2024-01-03", "00:30:00 UTC"), ("2024-01-02 at noon", "2024-01-02", "2024-01-02 at noon"), ("", "unknown", "Time unavailable")])
+def test_days_in_one_match(spark, raw, day, shown):
+    df = spark.createDataFrame([(raw,)], "v string").select(S.replay_date(F.col("v")).alias("d"), S.replay_time(F.col("v")).alias("t"))
+    assert tuple(df.first()) == (day, shown)
+    assert regex_count(S.replay_date(F.col("v"))) == regex_count(S.replay_time(F.col("v"))) == regex_count(S.timeline_time(F.col("v"))) == 1
