@@ -202,3 +202,15 @@ def test_days_in_one_match(spark, raw, day, shown):
     df = spark.createDataFrame([(raw,)], "v string").select(S.replay_date(F.col("v")).alias("d"), S.replay_time(F.col("v")).alias("t"))
     assert tuple(df.first()) == (day, shown)
     assert regex_count(S.replay_date(F.col("v"))) == regex_count(S.replay_time(F.col("v"))) == regex_count(S.timeline_time(F.col("v"))) == 1
+
+
+def test_paths_in_few_patterns(spark):
+    """Paths by trust, without case behind a drive letter; patterns run a few times a text, not once a use of their result."""
+    from trailspark.operators import paths
+
+    text = r"<path> /home/a/x.py </path> see c:\A\b\c.txt, C:\a\b\C.TXT and /opt/one/two.c; https://h.com/home/x/y /home/path/z <b>/tmp/q"
+    df = spark.createDataFrame([(text, "/srv/w/d", "'/etc/passwd',"), (text, "", "no path"), ("", "", "")], "t string, c string, g string")
+    e = paths.extract_paths(F.col("t"), F.col("c"), F.col("g"), F.lit(True))
+    found = ["/home/a/x.py", r"c:\A\b\c.txt", "/opt/one/two.c", "/tmp/q"]
+    assert [r["p"] for r in df.select(e.alias("p")).collect()] == [["/srv/w/d", "/etc/passwd", *found], found, []]
+    assert regex_count(e) <= 10

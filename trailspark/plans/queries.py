@@ -322,7 +322,9 @@ CUSTOMER_PATHS = f"(SELECT c_custkey, replace(path, '{{k}}', c_custkey::VARCHAR)
 
 def customer_paths(spark, sf_dir) -> DataFrame:
     kinds = F.broadcast(values(spark, [(i, r[0]) for i, r in enumerate(PATHS)], "i int, path string"))
-    df = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") % len(PATHS)).alias("i")).join(kinds, "i")
+    # Keys are small and their texts are not: a file of few row groups would leave the work to as few tasks.
+    keys = table(spark, sf_dir, "customer").select("c_custkey").repartition("c_custkey")
+    df = keys.withColumn("i", F.col("c_custkey") % len(PATHS)).join(kinds, "i")
     return df.select("c_custkey", F.replace("path", F.lit("{k}"), F.col("c_custkey").cast("string")).alias("path"))
 
 
