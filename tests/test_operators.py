@@ -214,3 +214,14 @@ def test_paths_in_few_patterns(spark):
     found = ["/home/a/x.py", r"c:\A\b\c.txt", "/opt/one/two.c", "/tmp/q"]
     assert [r["p"] for r in df.select(e.alias("p")).collect()] == [["/srv/w/d", "/etc/passwd", *found], found, []]
     assert regex_count(e) <= 10
+
+
+def test_replay_rounds_do_not_grow_with_pieces(spark, monkeypatch):
+    """Pieces that accept nothing hand on the last messages of the pieces before them in one round."""
+    cols = "event_number int, timestamp_utc string, session_key string, agent string, event_type string, source_type string, conversation_eligible boolean, role string, text string, summary string, action string, source_file string"
+    says = [f"line {i} is fine" for i in range(4)] * 8 + ["line 3 is fine, and more is said", "line 3 is fine, and more is said n"]
+    data = [(i, "", "s", "codex", "USER PROMPT", "codex_session_jsonl", True, "user", m, "", "", "f.jsonl") for i, m in enumerate(says, 1)]
+    rounds, write = [], replay.tables.materialise
+    monkeypatch.setattr(replay.tables, "materialise", lambda df, tag: (rounds.append(tag), write(df, tag))[1])
+    got = replay.build_replay(spark.createDataFrame(data, cols), 4).collect()
+    assert [r["event_number"] for r in got] == [1, 2, 3, 4, 33] and rounds.count("replay") <= 4

@@ -7,7 +7,7 @@ from itertools import groupby, takewhile
 from typing import NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trailspark import tables
@@ -46,13 +46,16 @@ def count_of(c: Column, word: str) -> Column:
 
 def is_clean_response(message: Column, action: Column) -> Column:
     """Whether an assistant's message reads as prose rather than as a protocol or object dump."""
-    v, low = S.strip(message), F.lower(S.strip(message))
-    structure = sum((count_of(low, t) for t in STRUCTURE[1:]), count_of(low, STRUCTURE[0]))
-    words, sentences = F.regexp_count(v, F.lit("[A-Za-z][A-Za-z'-]*")), F.regexp_count(v, F.lit(r"[.!?](?:(?U:\s)|$)"))
-    long_names = F.regexp_count(v, F.lit("[A-Za-z_][A-Za-z0-9_.:-]{12,}"))
+    return S.let(S.strip(message), lambda v: S.let(F.struct(v.alias("v"), F.lower(v).alias("low")), lambda x: ~_is_dump(x["v"], x["low"], action)))
+
+
+def _is_dump(v: Column, low: Column, action: Column) -> Column:
     runtime = S.has_any(F.lower(S.text(action)), ("runtime", "tool", "sessionevent", "sqlite"))
-    bad = (v == "") | S.has_any(low, RUNTIME_MARKS) | ((structure >= 10) & (sentences == 0)) | ((structure >= 16) & (words < 40)) | (runtime & (structure >= 5)) | ((words < 5) & (long_names >= 2))
-    return ~bad
+    seen = F.struct(
+        sum((count_of(low, t) for t in STRUCTURE[1:]), count_of(low, STRUCTURE[0])).alias("structure"), F.regexp_count(v, F.lit("[A-Za-z][A-Za-z'-]*")).alias("words"),
+        F.regexp_count(v, F.lit(r"[.!?](?:(?U:\s)|$)")).alias("sentences"), F.regexp_count(v, F.lit("[A-Za-z_][A-Za-z0-9_.:-]{12,}")).alias("long_names"))
+    heavy = lambda n: ((n["structure"] >= 10) & (n["sentences"] == 0)) | ((n["structure"] >= 16) & (n["words"] < 40)) | (runtime & (n["structure"] >= 5)) | ((n["words"] < 5) & (n["long_names"] >= 2))
+    return (v == "") | S.has_any(low, RUNTIME_MARKS) | S.let(seen, heavy)
 
 
 def source_priority() -> Column:
@@ -65,12 +68,15 @@ def candidates(events: DataFrame) -> DataFrame:
     df = events.where(
         F.col("event_type").isin("USER PROMPT", "ASSISTANT RESPONSE") & F.lower(S.text("source_type")).isin(*SOURCES)
         & F.coalesce("conversation_eligible", F.lit(False)) & F.lower(S.text("role")).isin(*ROLES))
-    df = df.withColumn("message", repair.normalized(S.strip(S.first_text(S.text("text"), S.text("summary")))))
+    df = df.withColumn("message", repair.normalized(S.strip(S.first_text(S.text("text"), S.text("summary"))))).withColumn("folded", repair.folded(F.col("message")))
+    # Written before they are filtered and ranged: a filter on the message would repeat its repair for every use in the
+    # conditions, and choosing the ranges would repeat all of it.
+    df = tables.materialise(df, "messages")
     starts = F.lit(False)
     for c in CONTEXTS:
         starts = starts | F.col("message").startswith(c)
     df = df.where((F.col("message") != "") & ~starts & ((F.col("event_type") != "ASSISTANT RESPONSE") | is_clean_response(F.col("message"), F.col("action"))))
-    df = df.withColumn("label", F.when(F.lower("role").isin("user", "human"), "user").otherwise("agent")).withColumn("folded", repair.folded(F.col("message")))
+    df = df.withColumn("label", F.when(F.lower("role").isin("user", "human"), "user").otherwise("agent"))
     df = df.withColumn("even", repair.even_depth(F.col("folded")))
     return df.withColumn("us", F.unix_micros(S.iso_timestamp(F.col("timestamp_utc"))))
 
@@ -86,8 +92,9 @@ def build_replay(events: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
     A message goes if its fingerprint was accepted before or one of the last accepted ones echoes it, so what
     is accepted depends on all that came before. The ordered messages are cut into pieces that are walked at the same time,
-    each given the fingerprints accepted in earlier pieces and the last messages accepted before it, as the round before
-    knew them. After n rounds the first n pieces are settled; rounds end when nothing changes, mostly after two or three.
+    each given the fingerprints accepted in earlier pieces and the last messages accepted before it, in whichever pieces these
+    lie, as the round before knew them. After n rounds the first n pieces are settled; rounds end when nothing changes, mostly
+    after two or three.
     """
     cols = ["timestamp_utc", "event_number", "session_key", "agent", "label", "event_type", "message", "folded", "even", "us"]
     order = [F.col("us").asc_nulls_last(), F.col("prio").asc(), F.col("event_number").asc()]
@@ -100,13 +107,16 @@ def build_replay(events: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
         got = tables.materialise(feed.repartition("piece").sortWithinPartitions("piece", "kind", "at").mapInArrow(walk, said.schema), "replay")
         if before is not None:
             tables.drop_table(before)
-        last_state, state = state, got.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("piece", "kind", "at").cast("decimal(38,0)")).alias("s"), F.max("piece").alias("last")).first()
-        if state == last_state or not state["last"]:
-            break
+        last_state, state = state, got.where(F.col("kind") == SAID).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("piece", "at").cast("decimal(38,0)")).alias("s"), F.max("piece").alias("last")).first()
         pieces = state["last"] if pieces is None else pieces
+        if not pieces or state[:2] == last_state:
+            break
+        state = state[:2]
         firsts = got.where(F.col("kind") == SAID).groupBy("print").agg(F.min("piece").alias("first"))
         taken = said.select("piece", "print").distinct().join(firsts, "print").where("first < piece").select("piece", F.lit(TAKEN).alias("kind"), "print")
-        tails = got.where(F.col("kind") == TAIL).withColumn("piece", F.col("piece") + 1).where(F.col("piece") <= pieces)
+        # A message is among the last accepted ones up to the piece of the eighth after it; eight a piece are looked at.
+        until = F.coalesce(F.lead("piece", LOOK_BACK).over(Window.orderBy("at")), F.lit(pieces))
+        tails = got.where(F.col("kind") == TAIL).withColumn("_to", until).where("_to > piece").withColumn("piece", F.explode(F.expr("sequence(piece + 1, _to)"))).drop("_to")
         feed = said.unionByName(taken, allowMissingColumns=True).unionByName(tails)
     accepted = got.where(F.col("kind") == SAID).select(F.col("at").alias("_at"))
     return rows.join(accepted, "_at", "left_semi").orderBy("_at").select(
@@ -114,7 +124,7 @@ def build_replay(events: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
 
 def walk(batches):
-    """Rows by piece, kind and place: of each piece the accepted messages (without texts) and its last accepted ones."""
+    """Rows by piece, kind and place: of each piece the accepted messages (without texts) and the last ones it accepted itself."""
 
     def rows():
         for batch in batches:
@@ -135,7 +145,7 @@ def walk(batches):
                 known.add(row.print)
                 recent.appendleft(row)
                 out.append(row._replace(label=None, folded=None, even=None, us=None))
-        yield packed(out + [r._replace(piece=row.piece, kind=TAIL) for r in recent])
+        yield packed(out + [r._replace(kind=TAIL) for r in reversed(recent) if r.kind == SAID])
 
 
 def echoed(row: Said, recent) -> bool:
