@@ -225,3 +225,11 @@ def test_replay_rounds_do_not_grow_with_pieces(spark, monkeypatch):
     monkeypatch.setattr(replay.tables, "materialise", lambda df, tag: (rounds.append(tag), write(df, tag))[1])
     got = replay.build_replay(spark.createDataFrame(data, cols), 4).collect()
     assert [r["event_number"] for r in got] == [1, 2, 3, 4, 33] and rounds.count("replay") <= 4
+
+
+def test_summary_collapsed_once(spark):
+    from trailspark.operators import events
+
+    df = spark.createDataFrame([("a \n b" * 200, "", "", "", "x"), (" \t", "d", "", "", "x"), (None, None, None, "act", "x")], "text string, details string, target string, action string, event_type string")
+    assert [r["s"] for r in df.select(events.summary().alias("s")).collect()] == [("a b" * 200)[:300] + "…", "", "act"]
+    assert regex_count(events.summary()) == 1

@@ -466,9 +466,10 @@ c AS (SELECT *, length(message) - length(bare) + (length(message) - length(repla
 k AS (SELECT *, row_number() OVER (PARTITION BY role, folded ORDER BY event_number) AS nth FROM c WHERE role = 'user' OR NOT (st >= 10 AND sent = 0) AND NOT (st >= 16 AND words < 40) AND NOT (words < 5 AND ids >= 2))
 SELECT '' AS timestamp_utc, event_number, 'codex:session:' || conv_id AS session_key, 'codex' AS agent, CASE role WHEN 'user' THEN 'user' ELSE 'agent' END AS role, CASE role WHEN 'user' THEN 'USER PROMPT' ELSE 'ASSISTANT RESPONSE' END AS event_type, message FROM k WHERE nth = 1""")
 def replay_full(spark, sf_dir):
-    c = chat_events(spark, sf_dir).withColumn("event_type", E.classify()).withColumn("source_type", F.lit("codex_session_jsonl")).withColumn("conversation_eligible", F.lit(True))
-    c = c.withColumn("session_key", E.session_key()).withColumn("summary", E.summary())
-    return replay.build_replay(timeline.global_number(c, [F.col("ingest_ord").asc()], "event_number"))
+    # Numbered first: choosing the ranges reads every row once more, and the written ranges share the work among tasks.
+    c = timeline.global_number(chat_events(spark, sf_dir), [F.col("ingest_ord").asc()], "event_number")
+    c = c.withColumn("event_type", E.classify()).withColumn("source_type", F.lit("codex_session_jsonl")).withColumn("conversation_eligible", F.lit(True))
+    return replay.build_replay(c.withColumn("session_key", E.session_key()).withColumn("summary", E.summary()))
 
 
 @query("SELECT doc_id, sha256(text) AS repaired, regexp_matches(text, '[À-ÿ]') AS was_garbled FROM documents WHERE regexp_matches(text, '^[\\x00-\\x7fÀ-ÿ]*$')")
